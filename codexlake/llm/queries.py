@@ -4,16 +4,43 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import table
+from .common import crc_mod, table
+
+VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import fit, identify
+
+    docs = table(spark, sf_dir, "documents")
+    rows = identify(docs.select("doc_id", "text"), fit(docs))
+    held_out = F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(False))
+    return rows.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "lang_rejected")
+
+
+def op5_toxicity_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import fit, score
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = score(docs, fit(docs, table(spark, sf_dir, "labels")))
+    held_out = F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(False))
+    return rows.select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )
 
 
 def op10_pack_nnls(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
-    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return pack(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
-QUERIES = {"op10_pack_nnls": op10_pack_nnls}
+QUERIES = {
+    "op4_language_id": op4_language_id,
+    "op5_toxicity_ftrl": op5_toxicity_ftrl,
+    "op10_pack_nnls": op10_pack_nnls,
+}
 
 ORACLE_SQL: dict[str, str] = {}
