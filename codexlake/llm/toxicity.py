@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import crc_mod, string_buffers, text_blocks, unit_hash
 from .hashing import LOWER, PUNCT, U, mix, span_hashes, word_spans
@@ -174,7 +175,7 @@ def score(documents: DataFrame, model: Model, text_column: str = "text", into: s
         documents = documents.drop(into)
     sent = documents.sparkSession.sparkContext.broadcast(model)
     at = documents.columns.index(text_column)
-    schema = documents.schema.add(into, "double", False)
+    schema = StructType([*documents.schema.fields, StructField(into, DoubleType(), False)])
 
     def run(batches):
         scorer = Scorer(sent.value)
