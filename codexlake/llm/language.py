@@ -16,6 +16,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
 from .common import crc_mod, string_buffers, text_blocks, unit_hash
 from .hashing import _BYTE, LOWER, SPACE, U
@@ -202,8 +203,8 @@ def identify(documents: DataFrame, model: Model, text_column: str = "text") -> D
     documents = documents.drop("lang_pred", "score", "lang_rejected")
     sent = documents.sparkSession.sparkContext.broadcast(model)
     at = documents.columns.index(text_column)
-    schema = documents.schema.add("lang_pred", "string", False).add("score", "double", False)
-    schema = schema.add("lang_rejected", "boolean", False)
+    added = (("lang_pred", StringType()), ("score", DoubleType()), ("lang_rejected", BooleanType()))
+    schema = StructType([*documents.schema.fields, *(StructField(name, kind, False) for name, kind in added)])
 
     def run(batches):
         predictor = Predictor(sent.value)
