@@ -11,6 +11,12 @@ from .common import crc_mod, table
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language import fit, identify
 
@@ -38,6 +44,7 @@ def op10_pack_nnls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_ngram_jaccard": op1_ngram_jaccard,
     "op4_language_id": op4_language_id,
     "op5_toxicity_ftrl": op5_toxicity_ftrl,
     "op10_pack_nnls": op10_pack_nnls,
