@@ -37,6 +37,12 @@ def op5_toxicity_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substrings import dedup_substrings
+
+    return dedup_substrings(table(spark, sf_dir, "documents"))
+
+
 def op10_pack_nnls(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -47,6 +53,7 @@ QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op4_language_id": op4_language_id,
     "op5_toxicity_ftrl": op5_toxicity_ftrl,
+    "op6_substring_dedup": op6_substring_dedup,
     "op10_pack_nnls": op10_pack_nnls,
 }
 
