@@ -43,6 +43,12 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(table(spark, sf_dir, "documents"))
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .tokencounts import count_tokens
+
+    return count_tokens(table(spark, sf_dir, "documents"), VOCABULARY)
+
+
 def op10_pack_nnls(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -54,6 +60,7 @@ QUERIES = {
     "op4_language_id": op4_language_id,
     "op5_toxicity_ftrl": op5_toxicity_ftrl,
     "op6_substring_dedup": op6_substring_dedup,
+    "op7_token_counts": op7_token_counts,
     "op10_pack_nnls": op10_pack_nnls,
 }
 
