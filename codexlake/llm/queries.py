@@ -17,6 +17,30 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op2_mtree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mtree import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
+OP2_SQL = """
+WITH v AS (
+    SELECT vec_id, CAST(list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS DOUBLE[]) AS q
+    FROM embeddings
+    WHERE embedding IS NOT NULL AND len(embedding) > 0
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+    SELECT a.vec_id AS query_id, b.vec_id AS vec_id, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+    FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id
+), r AS (
+    SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+           vec_id, score
+    FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language import fit, identify
 
@@ -49,6 +73,12 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neardup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op10_pack_nnls(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -57,11 +87,13 @@ def op10_pack_nnls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
+    "op2_mtree_topk": op2_mtree_topk,
     "op4_language_id": op4_language_id,
     "op5_toxicity_ftrl": op5_toxicity_ftrl,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_token_counts": op7_token_counts,
+    "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op10_pack_nnls": op10_pack_nnls,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_mtree_topk": OP2_SQL}

@@ -255,59 +255,96 @@ def _may_repeat(part: dict) -> bool:
     return len(part) > 1
 
 
-def dedup_substrings(documents: DataFrame, window: int = 50, id_column: str = "doc_id", text_column: str = "text",
-                     with_text: bool = False) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_sha256[, kept]) of every document.
+def _cuts(docs: DataFrame, window: int) -> DataFrame:
+    """(doc_id, cuts): the stretches of words to remove from each document that loses any."""
+    spark = docs.sparkSession
+    shards = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    named = docs.where("doc_id is not null and text is not null")
+    heavy = spark.sparkContext.broadcast(_frequent(named, window))
+    shared = _anchors(named, window, heavy, shards)
+    found = checkpointed(_segments(named, shared, window, heavy))
+    stretches = _stretches(found.where("words is not null"), window, shards)
+    held = found.where("words is null").select("doc_id", "start", "n", "c1", "c2")
+    cut = held.join(stretches, ["c1", "c2"]).where("doc_id > least or length(stretches) > 0")
+    own = F.when(F.col("doc_id") == F.col("least"), F.col("stretches"))
+    cut = cut.select("doc_id", F.struct("start", "n", own.alias("stretches")).alias("s"))
+    return cut.groupBy("doc_id").agg(F.collect_list("s").alias("cuts"))
+
+
+def kept_words(text: str | None, cuts) -> tuple[int, list[bytes]]:
+    """Number of words, and the words outside all cuts."""
+    words = (text or "").encode().split()
+    total = len(words)
+    if cuts:
+        gone = np.zeros(total + 1, np.int32)
+        for s in cuts:
+            if s["stretches"] is None:
+                spans = [(0, s["n"])]
+            else:
+                spans = np.frombuffer(s["stretches"], np.int32).reshape(-1, 2).tolist()
+            for i, j in spans:
+                gone[s["start"] + i] += 1
+                gone[s["start"] + j] -= 1
+        words = [words[i] for i in np.flatnonzero(np.cumsum(gone[:-1]) == 0).tolist()]
+    return total, words
+
+
+def dedup_substrings(documents: DataFrame, window: int = 50, id_column: str = "doc_id",
+                     text_column: str = "text") -> DataFrame:
+    """(doc_id, n_words, n_removed, kept_sha256) of every document.
 
     Words are runs without white space, taken unchanged. A word is removed if it
     lies in a run of ``window`` words that also starts in a document with a
     smaller id, judged on the input. The words kept are joined by one blank.
     Null texts have no words. Rows that repeat an id are one document as far as
     their ids go: none of them is the other's original. A row with a null id
-    loses nothing and is no one's original. Other columns are ignored.
+    loses nothing and is no one's original. Other columns are ignored; an empty
+    table gives no rows.
     """
     docs = documents.select(
         documents[id_column].cast("long").alias("doc_id"), documents[text_column].cast("string").alias("text")
     )
-    spark = docs.sparkSession
-    shards = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    named = docs.where("doc_id is not null and text is not null")
-    heavy = spark.sparkContext.broadcast(_frequent(named, window))
-    shared = _anchors(named, window, heavy, shards)
-    found = checkpointed(_segments(named, shared, window, heavy))
-    stretches = _stretches(found.where("words is not null"), window, shards)
-    held = found.where("words is null").select("doc_id", "start", "n", "c1", "c2")
-    cut = held.join(stretches, ["c1", "c2"]).where("doc_id > least or length(stretches) > 0")
-    cut = cut.select(
-        "doc_id",
-        F.struct("start", "n", F.when(F.col("doc_id") == F.col("least"), F.col("stretches")).alias("stretches")).alias("s"),
+    rows = docs.join(_cuts(docs, window), "doc_id", "left").select("doc_id", "text", "cuts")
+    names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
+
+    def run(batches):
+        for batch in batches:
+            ids, texts, cuts = (c.to_pylist() for c in batch.columns)
+            out = [[], [], []]
+            for text, own in zip(texts, cuts):
+                total, words = kept_words(text, own)
+                for c, v in zip(out, (total, total - len(words), hashlib.sha256(b" ".join(words)).hexdigest())):
+                    c.append(v)
+            kinds = [pa.int64(), pa.int64(), pa.string()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids, pa.int64()), *(pa.array(c, k) for c, k in zip(out, kinds))], names
+            )
+
+    return rows.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+
+
+def strip_substrings(documents: DataFrame, window: int = 50, id_column: str = "doc_id",
+                     text_column: str = "text") -> DataFrame:
+    """The documents with repeated stretches removed from their texts; all columns are kept.
+
+    The rule is that of ``dedup_substrings``. A text that loses nothing stays as
+    it is, white space included; another is its kept words joined by one blank.
+    """
+    docs = documents.select(
+        documents[id_column].cast("long").alias("doc_id"), documents[text_column].cast("string").alias("text")
     )
-    cuts = cut.groupBy("doc_id").agg(F.collect_list("s").alias("cuts"))
-    rows = docs.join(cuts, "doc_id", "left").select("doc_id", "text", "cuts")
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text
+    cuts = _cuts(docs, window).select(F.col("doc_id").alias("__id"), F.col("cuts").alias("__cuts"))
+    rows = documents.join(cuts, documents[id_column] == F.col("__id"), "left").drop("__id")
+    at, names = documents.columns.index(text_column), documents.columns
 
     def run(batches):
         for batch in batches:
-            out = [[] for _ in range(5)]
-            for doc, text, own in zip(*(c.to_pylist() for c in batch.columns)):
-                words = (text or "").encode().split()
-                total = len(words)
+            texts, cuts = batch.column(at).to_pylist(), batch.column(len(names)).to_pylist()
+            for i, own in enumerate(cuts):
                 if own:
-                    gone = np.zeros(total + 1, np.int32)
-                    for s in own:
-                        if s["stretches"] is None:
-                            spans = [(0, s["n"])]
-                        else:
-                            spans = np.frombuffer(s["stretches"], np.int32).reshape(-1, 2).tolist()
-                        for i, j in spans:
-                            gone[s["start"] + i] += 1
-                            gone[s["start"] + j] -= 1
-                    words = [words[i] for i in np.flatnonzero(np.cumsum(gone[:-1]) == 0).tolist()]
-                kept = b" ".join(words)
-                for c, v in zip(out, (doc, total, total - len(words), hashlib.sha256(kept).hexdigest(), kept.decode() if with_text else "")):
-                    c.append(v)
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            names = ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"][: 4 + with_text]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k, _ in zip(out, kinds, names)], names)
+                    texts[i] = b" ".join(kept_words(texts[i], own)[1]).decode()
+            columns = list(batch.columns[: len(names)])
+            columns[at] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, documents.schema)
