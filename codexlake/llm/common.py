@@ -52,7 +52,7 @@ def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
-def text_blocks(offsets: np.ndarray, size: int = 4 << 20):
+def text_blocks(offsets: np.ndarray, size: int = 1 << 20):
     """Ranges of consecutive documents of about ``size`` bytes each (at least one document)."""
     n, at = len(offsets) - 1, 0
     while at < n:
