@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .common import crc_mod, table
 
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 
@@ -41,6 +42,20 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text encoded and decoded again: the number of ids, their crc32, and whether the text came back."""
+    from .sentencepieces import decode, encode
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = decode(encode(docs, PIECES), PIECES)
+    # The model reads the mark itself as a blank.
+    back = F.col("decoded") == F.translate(F.col("text"), "\u2581", " ")
+    return rows.select(
+        "doc_id", F.coalesce("ids_n", F.lit(0)).alias("n_pieces"), F.coalesce("ids_crc32", F.lit(0)).alias("ids_crc32"),
+        F.coalesce(back, F.col("text").isNull()).alias("round_trip"),
+    )
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language import fit, identify
 
@@ -79,6 +94,13 @@ def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import scan_licenses
+
+    rows = scan_licenses(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "line", "license", "reduction", "similarity", "exact", "inserted", "deleted")
+
+
 def op10_pack_nnls(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -88,11 +110,13 @@ def op10_pack_nnls(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_mtree_topk": op2_mtree_topk,
+    "op3_sentencepiece": op3_sentencepiece,
     "op4_language_id": op4_language_id,
     "op5_toxicity_ftrl": op5_toxicity_ftrl,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_token_counts": op7_token_counts,
     "op8_embedding_near_dedup": op8_embedding_near_dedup,
+    "op9_license_scan": op9_license_scan,
     "op10_pack_nnls": op10_pack_nnls,
 }
 
