@@ -30,7 +30,7 @@ from .hashing import U, fold, grams, mix, word_hashes, word_spans
 from .heavy import Counter, heavy_hashes, is_heavy
 
 #: Words of an anchor; documents from which a k-gram counts as frequent; words that one index holds.
-ANCHOR, FREQUENT, INDEX_WORDS = 8, 16, 300_000
+ANCHOR, FREQUENT, INDEX_WORDS = 20, 16, 300_000
 _TOP = U(1) << U(63)
 
 
