@@ -1,6 +1,8 @@
 """Substring dedup: words inside a run of ``window`` words that an earlier document also holds are removed.
 
-1. The corpus' frequent word k-grams are found from bounded summaries.
+1. Documents with equal words form a class by a 128-bit hash; all but its least
+   document are wholly covered (if long enough) and take no further part. The
+   same pass finds the corpus' frequent word k-grams from bounded summaries.
 2. Every window of every document chooses an anchor: its least k-gram, frequent
    ones last. Neighbouring windows with one anchor make a segment. Equal
    windows have equal anchors, so anchors held by one document only are set
@@ -30,7 +32,7 @@ from .hashing import U, fold, grams, mix, word_hashes, word_spans
 from .heavy import Counter, heavy_hashes, is_heavy
 
 #: Words of an anchor; documents from which a k-gram counts as frequent; words that one index holds.
-ANCHOR, FREQUENT, INDEX_WORDS = 20, 16, 300_000
+ANCHOR, FREQUENT, INDEX_WORDS = 8, 16, 300_000
 _TOP = U(1) << U(63)
 
 
@@ -76,61 +78,76 @@ def blocks(texts: pa.Array):
         yield a, b, *word_hashes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
 
 
-def _frequent(docs: DataFrame, window: int) -> np.ndarray:
+def _survey(docs: DataFrame, window: int) -> DataFrame:
+    """Rows (doc_id, n, c1, c2) for documents and (hash, n) for a task's frequent k-grams."""
+    names = ["doc_id", "n", "c1", "c2", "hash"]
+
     def run(batches):
         counter = Counter()
         for batch in batches:
+            n, c1, c2 = [], [], []
             for _, _, h, words in blocks(batch.column(1)):
                 g = grams(h, ANCHOR)
-                size = np.diff(words)
-                for i in np.flatnonzero(size >= window).tolist():
-                    counter.add(np.unique(g[words[i] : words[i + 1] - ANCHOR + 1]))
-        yield counter.top()
-
-    return heavy_hashes(docs.mapInArrow(run, "hash long, n long"), FREQUENT)
+                for begin, end in zip(words[:-1].tolist(), words[1:].tolist()):
+                    n.append(end - begin)
+                    c1.append(fold(h[begin:end], 41))
+                    c2.append(fold(h[begin:end], 43))
+                    if end - begin >= window:
+                        counter.add(np.unique(g[begin : end - ANCHOR + 1]))
+            both = [pa.array(np.array(c, U).view(np.int64)) for c in (c1, c2)]
+            cols = [batch.column(0), pa.array(n, pa.int64()), *both, pa.nulls(len(n), pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, names)
+        top = counter.top()
+        none = pa.nulls(top.num_rows, pa.int64())
+        yield pa.RecordBatch.from_arrays([none, top.column(1), none, none, top.column(0)], names)
+
+    return docs.mapInArrow(run, "doc_id long, n long, c1 long, c2 long, hash long")
 
 
 def _anchors(docs: DataFrame, window: int, heavy, shards: int) -> DataFrame:
-    """(doc_id, anchors): the anchors of each document that another document has too, by hash range."""
+    """(doc_id, anchors): the anchors of each document that one with other words has too, by hash range.
+
+    Of documents with equal words only the least has any.
+    """
 
     def pack(batches):
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            found_doc, found_anchor = [], []
+            found_doc, found_anchor, found_words = [], [], []
             for a, _, h, words in blocks(batch.column(1)):
                 doc, _, _, anchor = segments(h, words, window, heavy.value)
+                equal = np.array([fold(h[i:j], 41) for i, j in zip(words[:-1].tolist(), words[1:].tolist())], U)
                 found_doc.append(ids[a + doc])
                 found_anchor.append(anchor)
-            d, x = np.concatenate(found_doc).astype(np.int64), np.concatenate(found_anchor)
+                found_words.append(equal[doc])
+            d, x, c = (np.concatenate(f) for f in (found_doc, found_anchor, found_words))
             shard = (mix(x) >> U(33)).astype(np.int64) % shards
-            order = np.lexsort((d, x, shard))
-            shard, d, x = shard[order], d[order], x[order]
-            once = np.r_[True, (d[1:] != d[:-1]) | (x[1:] != x[:-1])] if len(d) else np.empty(0, bool)
-            shard, d, x = shard[once], d[once], x[once]
+            order = np.lexsort((d, c, x, shard))
+            shard, d, x, c = shard[order], d[order].astype(np.int64), x[order], c[order]
+            once = np.r_[True, (c[1:] != c[:-1]) | (x[1:] != x[:-1])] if len(d) else np.empty(0, bool)
+            shard, d, x, c = shard[once], d[once], x[once], c[once]
             used, begin = np.unique(shard, return_index=True)
             cut = [slice(int(i), int(j)) for i, j in zip(begin, np.r_[begin[1:], len(d)])]
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(used.astype(np.int32)),
-                    pa.array([x[c].tobytes() for c in cut], pa.binary()),
-                    pa.array([d[c].tobytes() for c in cut], pa.binary()),
-                ],
-                ["shard", "x", "d"],
+                [pa.array(used.astype(np.int32)), *(pa.array([v[i].tobytes() for i in cut], pa.binary()) for v in (x, d, c))],
+                ["shard", "x", "d", "c"],
             )
 
     def match(batches):
-        xs, ds = [], []
+        parts = [[], [], []]
         for batch in batches:
-            xs += [np.frombuffer(v.as_buffer(), U) for v in batch.column(1)]
-            ds += [np.frombuffer(v.as_buffer(), np.int64) for v in batch.column(2)]
-        if not xs:
+            for held, column, kind in zip(parts, batch.columns[1:], (U, np.int64, U)):
+                held += [np.frombuffer(v.as_buffer(), kind) for v in column]
+        if not parts[0]:
             return
-        x, d = np.concatenate(xs), np.concatenate(ds)
-        order = np.lexsort((d, x))
-        x, d = x[order], d[order]
+        x, d, c = (np.concatenate(p) for p in parts)
+        order = np.lexsort((d, c, x))
+        x, d, c = x[order], d[order], c[order]
+        least = np.r_[True, (x[1:] != x[:-1]) | (c[1:] != c[:-1])]  # of documents with equal words
+        x, d = x[least], d[least]
         begin = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
-        shared = d[begin] != d[np.r_[begin[1:], len(x)] - 1]
-        keep = np.repeat(shared, np.diff(np.r_[begin, len(x)]))
+        size = np.diff(np.r_[begin, len(x)])
+        keep = np.repeat(size > 1, size)
         x, d = x[keep], d[keep]
         order = np.argsort(d, kind="stable")
         x, d = x[order], d[order]
@@ -141,7 +158,7 @@ def _anchors(docs: DataFrame, window: int, heavy, shards: int) -> DataFrame:
             ["doc_id", "anchors"],
         )
 
-    packed = docs.mapInArrow(pack, "shard int, x binary, d binary")
+    packed = docs.mapInArrow(pack, "shard int, x binary, d binary, c binary")
     return packed.repartitionById(shards, F.col("shard")).mapInArrow(match, "doc_id long, anchors binary")
 
 
@@ -260,14 +277,21 @@ def _cuts(docs: DataFrame, window: int) -> DataFrame:
     spark = docs.sparkSession
     shards = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     named = docs.where("doc_id is not null and text is not null")
-    heavy = spark.sparkContext.broadcast(_frequent(named, window))
+    survey = checkpointed(_survey(named, window))
+    heavy = heavy_hashes(survey.where("hash is not null").select("hash", "n"), FREQUENT)
+    heavy = spark.sparkContext.broadcast(heavy)
+    whole = survey.where(f"hash is null and n >= {window}").select("doc_id", "n", "c1", "c2")
+    classes = whole.groupBy("c1", "c2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
+    copies = whole.join(classes, ["c1", "c2"]).where("doc_id > least")
+    copies = copies.select("doc_id", F.lit(0).cast("long").alias("start"), "n", F.lit(None).cast("binary").alias("stretches"))
     shared = _anchors(named, window, heavy, shards)
     found = checkpointed(_segments(named, shared, window, heavy))
     stretches = _stretches(found.where("words is not null"), window, shards)
     held = found.where("words is null").select("doc_id", "start", "n", "c1", "c2")
     cut = held.join(stretches, ["c1", "c2"]).where("doc_id > least or length(stretches) > 0")
     own = F.when(F.col("doc_id") == F.col("least"), F.col("stretches"))
-    cut = cut.select("doc_id", F.struct("start", "n", own.alias("stretches")).alias("s"))
+    cut = cut.select("doc_id", "start", "n", own.alias("stretches")).union(copies)
+    cut = cut.select("doc_id", F.struct("start", "n", "stretches").alias("s"))
     return cut.groupBy("doc_id").agg(F.collect_list("s").alias("cuts"))
 
 
