@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from . import links, pages, strings, titles
+
+_MODULES = (titles, strings, links, pages)
+
 
 def queries() -> dict:
-    return {}
+    return {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for module in _MODULES for name, sql in module.SQL.items()}
