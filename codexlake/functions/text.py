@@ -116,8 +116,9 @@ def anchor_name(x) -> Column:
 
 
 def url_decode(x) -> Column:
-    """Percent decoding; a plus stays, and what cannot be decoded stays as it is."""
-    return F.coalesce(F.try_url_decode(F.replace(_c(x), F.lit("+"), F.lit("%2B"))), _c(x))
+    """Percent decoding; a plus stays, and so does a percent sign without two hex digits after it."""
+    plain = F.regexp_replace(F.replace(_c(x), F.lit("+"), F.lit("%2B")), "%(?![0-9A-Fa-f]{2})", "%25")
+    return F.coalesce(F.try_url_decode(plain), _c(x))
 
 
 def trim(x) -> Column:

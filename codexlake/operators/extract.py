@@ -72,7 +72,7 @@ def contents_shown(headings_: DataFrame, key: str = "title", least: int = 4) ->
 
 def level_changes(headings_: DataFrame, key: str = "title") -> DataFrame:
     """Adds ``opened`` and ``closed``: lists to open and close before each heading's entry."""
-    before = F.coalesce(F.lag("level").over(Window.partitionBy(key).orderBy("pos")), F.lit(0))
+    before = F.coalesce(F.lag("level").over(Window.partitionBy(key).orderBy("pos", "level")), F.lit(0))
     step = F.col("level") - before
     return headings_.withColumn("opened", F.greatest(step, F.lit(0))).withColumn("closed", F.greatest(-step, F.lit(0)))
 

@@ -71,7 +71,7 @@ def suggest_page(titles: DataFrame, phrase: str, k: int = SUGGESTIONS, order: tu
     else:
         hits = hits.withColumn("__last", F.lit(None).cast("int"))
     page = hits.orderBy(*order).limit(k + 2)  # two beyond the page decide on the marker
-    rows = page.select(F.struct(*order, "title", F.col("__last").alias("l")).alias("r"))
+    rows = page.select(F.struct(*dict.fromkeys([*order, "title"]), F.col("__last").alias("l")).alias("r"))
     listed = rows.agg(F.sort_array(F.collect_list("r")).alias("rs"))  # k + 2 rows
     offered = F.filter("rs", lambda r: r["l"].isNull())
     shown = F.slice(F.transform(offered, lambda r: r["title"]), 1, k)

@@ -132,7 +132,7 @@ def config_default(spark, d):
 
 def ref_numbering(spark, d):
     rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
-    return E.numbered(rows, ["l_orderkey"], [F.desc("l_linenumber")])
+    return E.numbered(rows, ["l_orderkey"], [F.desc("l_linenumber"), "l_partkey"])
 
 
 def template_closure(spark, d):
@@ -172,7 +172,7 @@ SELECT page_id, CAST(i AS INTEGER) AS pos, CAST(l[i] AS INTEGER) AS level, t[i]
     "toc_gate": "SELECT l_orderkey AS title, count(*) AS n_headings, count(*) >= 4 AS shown FROM lineitem GROUP BY l_orderkey",
     "toc_level_changes": """
 WITH h AS (SELECT l_orderkey AS title, l_linenumber AS pos, CAST(l_quantity AS INTEGER) % 3 + 1 AS level FROM lineitem),
-s AS (SELECT *, level - coalesce(lag(level) OVER (PARTITION BY title ORDER BY pos), 0) AS step FROM h)
+s AS (SELECT *, level - coalesce(lag(level) OVER (PARTITION BY title ORDER BY pos, level), 0) AS step FROM h)
 SELECT title, pos, level, greatest(step, 0) AS opened, greatest(-step, 0) AS closed FROM s""",
     "wikitext_headings": """
 SELECT p_partkey AS title, 1 AS pos, 1 AS level, p_name AS text FROM part UNION ALL SELECT p_partkey, 2, 2, p_brand FROM part""",
@@ -196,7 +196,7 @@ SELECT CAST(file_key AS BIGINT) AS file_key, coalesce(a.data, b.data, c.data) AS
 SELECT n_nationkey AS lang, 'name=' || n_name AS key, 'x' AS value FROM nation UNION ALL SELECT n_nationkey, 'k=1', 'b' || n_name FROM nation""",
     "config_default": "SELECT n_nationkey AS lang, CASE WHEN n_nationkey % 2 = 0 THEN 'b' || n_name ELSE 'none' END AS value FROM nation",
     "ref_numbering": """
-SELECT l_orderkey, l_linenumber, l_partkey, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC) AS INTEGER) AS n FROM lineitem""",
+SELECT l_orderkey, l_linenumber, l_partkey, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC, l_partkey) AS INTEGER) AS n FROM lineitem""",
     "template_closure": """
 WITH RECURSIVE f AS (SELECT n_regionkey, min(n_name) AS first FROM nation GROUP BY 1),
 e AS (SELECT n_name AS caller, first AS callee FROM nation JOIN f USING (n_regionkey) WHERE n_name <> first

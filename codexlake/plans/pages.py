@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import text as X
 from ..markup.context import Context
 from ..markup.pages import assemble, expand_column, render_column, result_list, template_text_column
 from ..operators.routes import respond
-from .base import PG, pg, table
+from .base import PG, pg, table, upper_sql
 
 L, C = F.lit, F.concat
 
@@ -87,14 +88,13 @@ def render_documents(spark, d):
 
 def _requests(spark, d):
     """One request line of each kind for every page, in turn."""
-    name = F.replace("title", L(" "), L("%20"))
     line = (
-        F.when(F.col("page_id") % 8 == 0, C(L("GET /wiki/"), "lang", L("/"), name, L(" HTTP/1.1")))
-        .when(F.col("page_id") % 8 == 1, C(L("GET /wiki/"), "lang", L("/"), F.upper(name), L(" HTTP/1.1")))
+        F.when(F.col("page_id") % 8 == 0, C(L("GET /wiki/"), "lang", L("/"), X.url_encode("title"), L(" HTTP/1.1")))
+        .when(F.col("page_id") % 8 == 1, C(L("GET /wiki/"), "lang", L("/"), X.url_encode(X.to_upper("title")), L(" HTTP/1.1")))
         .when(F.col("page_id") % 8 == 2, C(L("GET /wiki/No"), F.expr("string(page_id)"), L(" HTTP/1.1")))
         .when(F.col("page_id") % 8 == 3, C(L("GET /wiki/"), "lang", L("/No"), F.expr("string(page_id)"), L(" HTTP/1.1")))
-        .when(F.col("page_id") % 8 == 4, C(L("GET /wiki/zz/"), name, L(" HTTP/1.1")))
-        .when(F.col("page_id") % 8 == 5, C(L("GET /ajax/search:"), "lang", L(":"), F.expr("left(title, 2)"), L(" HTTP/1.1")))
+        .when(F.col("page_id") % 8 == 4, C(L("GET /wiki/zz/"), X.url_encode("title"), L(" HTTP/1.1")))
+        .when(F.col("page_id") % 8 == 5, C(L("GET /ajax/search:"), "lang", L(":"), X.url_encode(F.expr("left(title, 2)")), L(" HTTP/1.1")))
         .when(F.col("page_id") % 8 == 6, L("POST / HTTP/1.1"))
         .otherwise(L("broken"))
     )
@@ -197,12 +197,12 @@ FROM t GROUP BY lang, key0""",
     "route_requests": f"""
 WITH {PG}, p AS (SELECT *, page_id % 8 AS k FROM pg WHERE lang <> ''),
 sp AS (SELECT lang, key0, min(title) AS first, count(DISTINCT title) AS n FROM pg GROUP BY ALL),
-j AS (SELECT p.*, sp.first, sp.n, EXISTS (SELECT 1 FROM pg x WHERE x.lang = p.lang AND x.title = CASE WHEN k = 1 THEN upper(p.title) ELSE p.title END) AS exact
+j AS (SELECT p.*, sp.first, sp.n, EXISTS (SELECT 1 FROM pg x WHERE x.lang = p.lang AND x.title = CASE WHEN k = 1 THEN {upper_sql('p.title')} ELSE p.title END) AS exact
       FROM p JOIN sp ON sp.lang = p.lang AND sp.key0 = p.key0),
 s AS (SELECT *, CASE k WHEN 0 THEN 200 WHEN 1 THEN CASE WHEN exact OR n > 1 THEN 200 ELSE 301 END WHEN 2 THEN 301 WHEN 3 THEN 301 WHEN 4 THEN 301
                 WHEN 5 THEN CASE WHEN left(title, 2) = '' THEN 404 ELSE 200 END WHEN 6 THEN 501 END AS status FROM j WHERE k < 7)
 SELECT page_id, CASE k WHEN 2 THEN 'article_default' WHEN 5 THEN 'search' WHEN 6 THEN 'unsupported' ELSE 'article' END AS route, CAST(status AS INTEGER) AS status,
        CASE WHEN k = 1 AND status = 301 THEN '/wiki/' || lang || ':' || first WHEN k = 2 THEN '/wiki/en/No' || page_id
             WHEN k = 3 THEN '/wiki/xx/Article not found' WHEN k = 4 THEN '/wiki/xx/Language not installed' END AS location,
-       CASE WHEN k = 0 THEN title WHEN k = 1 AND exact THEN upper(title) END AS title FROM s""",
+       CASE WHEN k = 0 THEN title WHEN k = 1 AND exact THEN {upper_sql('title')} END AS title FROM s""",
 }

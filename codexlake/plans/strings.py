@@ -154,7 +154,7 @@ FROM part""",
     "svg_key": f"""
 SELECT p_partkey, CASE WHEN ends_with(k, '.svg') THEN k || '.png' ELSE k END AS file_key FROM (SELECT p_partkey, {lower_sql('(' + _FILE + ')')} AS k FROM part)""",
     "cache_key": f"""
-WITH {PG} SELECT page_id, replace(replace(replace({lower_sql(_escaped("(title || '/A:b' || chr(92) || 'c')"))}, '/', '%2f'), chr(92), '%5c'), ':', '%3a') AS cache_key FROM pg""",
+WITH {PG} SELECT page_id, replace(replace(replace({lower_sql(_each(_escaped("(title || '/A:b' || chr(92) || 'c')"), _UTF8))}, '/', '%2f'), chr(92), '%5c'), ':', '%3a') AS cache_key FROM pg""",
     "mime_type": f"SELECT p_partkey, CASE lower(regexp_extract({_FILE}, '\\.([A-Za-z0-9]+)$', 1)) {_MIME} END AS mime FROM part",
     "pixel_size": """
 SELECT p_partkey, CASE WHEN p_size % 3 <> 2 THEN p_size END AS width, CASE WHEN p_size % 3 = 1 THEN 20 END AS height FROM part""",
