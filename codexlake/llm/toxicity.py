@@ -60,7 +60,8 @@ def feature_sets(texts: pa.Array) -> list[np.ndarray]:
         f, d = features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
         key = np.unique(d.astype(np.int64) << FEATURE_BITS | f)
         cut = np.searchsorted(key, np.arange(b - a + 1, dtype=np.int64) << FEATURE_BITS)
-        out += [key[cut[i] : cut[i + 1]] & ((1 << FEATURE_BITS) - 1) for i in range(b - a)]
+        bucket = (key & ((1 << FEATURE_BITS) - 1)).astype(np.int32)
+        out += [bucket[cut[i] : cut[i + 1]].copy() for i in range(b - a)]
     return out
 
 
@@ -82,13 +83,14 @@ def train(sets: list[np.ndarray], labels: np.ndarray, prior: float, alpha: float
     if not len(sets) or labels.min() == labels.max():
         p = min(max(prior, 1e-4), 1 - 1e-4)
         return Model(np.empty(0, np.int64), np.empty(0), float(np.log(p / (1 - p))))
-    seen, count = np.unique(np.concatenate(sets), return_counts=True)
-    seen = seen[count >= least]
-    index = []
+    count = np.zeros(1 << FEATURE_BITS, np.int32)
     for s in sets:
-        at = np.searchsorted(seen, s)
-        at[at == len(seen)] = 0
-        index.append(at[seen[at] == s] if len(seen) else at[:0])
+        count[s] += 1
+    often = count >= least
+    seen = np.flatnonzero(often)
+    place = np.cumsum(often, dtype=np.int32) - 1
+    index = [place[s[often[s]]] for s in sets]
+    del count, often, place
     z, n = np.zeros(len(seen)), np.zeros(len(seen))
     zb = nb = 0.0
     rng = np.random.RandomState(seed)
