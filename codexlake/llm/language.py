@@ -82,7 +82,8 @@ def _grams_of(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
     data, offsets = string_buffers(texts)
     for i in range(len(offsets) - 1):
         own = [b for _, b in subwords(data[offsets[i] : offsets[i + 1]], offsets[i : i + 2] - offsets[i])]
-        out.append(np.unique(np.concatenate(own), return_counts=True))
+        bucket, count = np.unique(np.concatenate(own), return_counts=True)
+        out.append((bucket.astype(np.uint16), count.astype(np.int32)))
     return out
 
 

@@ -83,20 +83,23 @@ def train(sets: list[np.ndarray], labels: np.ndarray, prior: float, alpha: float
     if not len(sets) or labels.min() == labels.max():
         p = min(max(prior, 1e-4), 1 - 1e-4)
         return Model(np.empty(0, np.int64), np.empty(0), float(np.log(p / (1 - p))))
-    count = np.zeros(1 << FEATURE_BITS, np.int32)
-    for s in sets:
-        count[s] += 1
-    often = count >= least
-    seen = np.flatnonzero(often)
-    place = np.cumsum(often, dtype=np.int32) - 1
-    index = [place[s[often[s]]] for s in sets]
-    del count, often, place
+    bounds = np.r_[0, np.cumsum([len(s) for s in sets])]
+    flat = np.concatenate(sets)
+    sets.clear()  # one array is given back as a whole, many small ones are not
+    count = np.zeros(1 << FEATURE_BITS, np.uint16)  # samples are smaller than its range
+    for a, b in zip(bounds, bounds[1:]):
+        count[flat[a:b]] += 1
+    seen = np.flatnonzero(count >= least)
+    often = count[flat] >= least
+    bounds = np.r_[0, np.cumsum(often)][bounds]
+    flat = np.searchsorted(seen, flat[often]).astype(np.int32)
+    del count, often
     z, n = np.zeros(len(seen)), np.zeros(len(seen))
     zb = nb = 0.0
     rng = np.random.RandomState(seed)
     for _ in range(epochs):
-        for i in rng.permutation(len(index)):
-            at = index[i]
+        for i in rng.permutation(len(labels)):
+            at = flat[bounds[i] : bounds[i + 1]]
             zi, root = z[at], np.sqrt(n[at])
             w = np.where(np.abs(zi) <= l1, 0.0, (np.sign(zi) * l1 - zi) / ((beta + root) / alpha + l2))
             bias = -zb / ((beta + np.sqrt(nb)) / alpha)
