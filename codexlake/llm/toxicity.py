@@ -90,10 +90,15 @@ def train(sets: list[np.ndarray], labels: np.ndarray, prior: float, alpha: float
     for a, b in zip(bounds, bounds[1:]):
         count[flat[a:b]] += 1
     seen = np.flatnonzero(count >= least)
-    often = count[flat] >= least
-    bounds = np.r_[0, np.cumsum(often)][bounds]
-    flat = np.searchsorted(seen, flat[often]).astype(np.int32)
-    del count, often
+    end, ends = 0, [0]
+    for a, b in zip(bounds, bounds[1:]):  # in place: what stays is never longer
+        own = flat[a:b]
+        own = np.searchsorted(seen, own[count[own] >= least])
+        flat[end : end + len(own)] = own
+        end += len(own)
+        ends.append(end)
+    bounds = ends
+    del count
     z, n = np.zeros(len(seen)), np.zeros(len(seen))
     zb = nb = 0.0
     rng = np.random.RandomState(seed)
@@ -145,7 +150,9 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", id_column
     )
     got = sample.toArrow().sort_by([("id", "ascending")])
     y = got["y"].to_numpy().astype(float)
-    return train(feature_sets(got["text"]), y, counts.get(1, 0) / total)
+    sets = feature_sets(got["text"])
+    del got
+    return train(sets, y, counts.get(1, 0) / total)
 
 
 class Scorer:
