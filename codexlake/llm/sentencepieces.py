@@ -55,7 +55,7 @@ class Forward:
         key = (left, right)
         found = self.apart.get(key)
         if found is None:
-            if len(self.apart) > 1_000_000:
+            if len(self.apart) > 400_000:
                 self.apart.clear()
             found = self.apart[key] = self.merge(left + right) == ([left, right] if left else [right])
         return found
@@ -132,10 +132,9 @@ class Encoder:
 
     def encode_all(self, texts: list[str | None]) -> list[bytes | None]:
         """Ids of each text as little-endian 32-bit numbers; null stays null."""
-        split = [None if t is None else _WORD.findall(self.sp.normalize(t)) for t in texts]
         out: list[bytes | None] = []
-        for at in range(0, len(split), 500):
-            part = split[at : at + 500]
+        for at in range(0, len(texts), 500):
+            part = [None if t is None else _WORD.findall(self.sp.normalize(t)) for t in texts[at : at + 500]]
             new, known = set(), {}
             for words in part:
                 for w in words or ():
