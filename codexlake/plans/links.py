@@ -29,9 +29,9 @@ def _targets(spark, d):
 
 
 def _slugs(spark, d):
-    """Page slugs as a title index: the last part of every other page's address."""
+    """Page slugs as a title index: the last part of every page's address."""
     slug = F.regexp_extract("url", r"([^/]*?)(?:\.[a-z]+)?$", 1)
-    return table(spark, d, "pages").where("page_id % 2 = 0").select(slug.alias("title")).withColumn("key0", X.key0("title"))
+    return table(spark, d, "pages").select(slug.alias("title")).withColumn("key0", X.key0("title"))
 
 
 def link_validity(spark, d):
