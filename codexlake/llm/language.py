@@ -24,8 +24,8 @@ from .hashing import _BYTE, LOWER, SPACE, U
 BUCKET_BITS = 15
 NGRAMS = (2, 3, 4)
 DIMENSIONS = 16
-#: Most languages, and most labelled documents of each, that the model is fitted on.
-MOST_LANGUAGES, SAMPLE = 64, 1_500
+#: Most labelled documents of each language, and about how many of all, that the model is fitted on.
+SAMPLE, SAMPLE_ALL = 1_500, 96_000
 UNKNOWN = "und"
 _LETTER = regex.compile(r"\p{L}")
 _MUL = U(0x9E3779B97F4A7C15)
@@ -102,11 +102,16 @@ def train(texts: pa.Array, labels: list[str], epochs: int = 6, rate: float = 2.0
     w, bias = np.zeros((DIMENSIONS, k)), np.zeros(k)
     if k < 2:
         return Model(languages, np.zeros((1 << BUCKET_BITS, k), np.float32), bias, 1.0, 0.0)
-    y = np.array([languages.index(x) for x in labels])
+    number = {x: i for i, x in enumerate(languages)}
+    y = np.array([number[x] for x in labels])
     grams = _grams_of(texts)
     order = rng.permutation(len(y))
     n_cal = int(calibrate * len(y))
     kept, fitted = order[:n_cal], order[n_cal:]
+    first = np.unique(y[kept], return_index=True)[1]
+    moved = first[~np.isin(y[kept][first], y[fitted])]  # a language is fitted before it is calibrated
+    kept, fitted = np.delete(kept, moved), np.concatenate([fitted, kept[moved]])
+    n_cal = len(kept)
     steps, step = epochs * len(fitted), 0
     for _ in range(epochs):
         for i in rng.permutation(fitted):
@@ -151,21 +156,22 @@ def fit(documents: DataFrame, label: str = "lang", id_column: str = "doc_id", te
         fold: int | None = 1, folds: int = 3) -> Model:
     """A model from texts and labels outside the held-out fold (from all, if ``fold`` is None).
 
-    At most ``SAMPLE`` documents of each of the ``MOST_LANGUAGES`` most frequent labels are
-    used, chosen by a hash of the id; null texts and labels take no part.
+    About ``SAMPLE`` documents of each label are used, or fewer of each so that there are about
+    ``SAMPLE_ALL``, but one at least, chosen by a hash of the id; null texts and labels take no part.
     """
     rows = documents.select(
         F.col(id_column).alias("id"), F.col(text_column).alias("text"), F.col(label).cast("string").alias("y")
     ).where("id is not null and y is not null and text is not null")
     if fold is not None:
         rows = rows.where(crc_mod("id", folds) != fold)
-    counts = rows.groupBy("y").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "y").limit(MOST_LANGUAGES).collect()
-    if not counts:
+    rows = rows.withColumn("at", unit_hash(F.col("id").cast("string"), seed=5))
+    counts = rows.groupBy("y").agg(F.count("*").alias("n"), F.min("at").alias("least"))
+    labels = counts.count()
+    if not labels:
         return Model([], np.zeros((1 << BUCKET_BITS, 0), np.float32), np.zeros(0), 1.0, 0.0)
-    share = F.lit(0.0)
-    for r in counts:
-        share = F.when(F.col("y") == r["y"], min(1.0, SAMPLE / r["n"])).otherwise(share)
-    sample = rows.where(unit_hash(F.col("id").cast("string"), seed=5) < share).limit(2 * SAMPLE * len(counts))
+    each = max(1, min(SAMPLE, SAMPLE_ALL // labels))
+    sample = rows.join(F.broadcast(counts), "y").where((F.col("at") < each / F.col("n")) | (F.col("at") == F.col("least")))
+    sample = sample.select("id", "text", "y").limit(2 * (each + 1) * labels)
     got = sample.toArrow().sort_by([("id", "ascending")])
     return train(got["text"].combine_chunks() if got.num_rows else pa.array([], pa.string()), got["y"].to_pylist())
 
