@@ -82,7 +82,7 @@ def plan(lengths: np.ndarray, window: int, depth: int = 3, n_bins: int = 24) ->
     left = lengths - begin
     open_: list[list[tuple[int, int, int]]] = []
     pool: list[int] = rest
-    if len(rest) > 2 * n_bins:
+    if rest:
         items = np.array(rest)
         width = -(-window // n_bins)
         label = (left[items] - 1) // width
