@@ -54,18 +54,18 @@ def setting(rows: DataFrame, config: DataFrame, key: str, default: str, into: st
     return rows.join(own, "lang", "left").withColumn(into, F.coalesce("__value", F.lit(default))).drop("__value")
 
 
-def closure(edges: DataFrame, start: DataFrame, depth: int = 40) -> DataFrame:
-    """(name): everything reachable over (caller, callee), the start included; a frontier step for each level."""
-    known = start.select("name").distinct()
-    frontier = known
-    for _ in range(depth):
+def closure(edges: DataFrame, start: DataFrame) -> DataFrame:
+    """(name): everything reachable over (caller, callee), the start included; a frontier step for each level, to the last."""
+
+    def cut(rows: DataFrame) -> DataFrame:
+        return rows.checkpoint() if rows.sparkSession.conf.get("spark.checkpoint.dir", None) else rows.localCheckpoint()
+
+    known = frontier = cut(start.select("name").distinct())
+    level = 0
+    while not frontier.isEmpty():
         found = edges.join(frontier, edges.caller == F.col("name"), "left_semi").select(F.col("callee").alias("name")).distinct()
-        fresh = found.join(known, "name", "left_anti")
-        if fresh.sparkSession.conf.get("spark.checkpoint.dir", None):
-            fresh = fresh.checkpoint()
-        else:
-            fresh = fresh.persist()
-        if fresh.isEmpty():
-            break
-        known, frontier = known.union(fresh), fresh
+        frontier = cut(found.join(known, "name", "left_anti"))
+        known, level = known.union(frontier), level + 1
+        if level % 16 == 0:
+            known = cut(known.distinct())
     return known
