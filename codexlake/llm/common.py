@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 import numpy as np
@@ -15,20 +17,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the cluster's shared checkpoint folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    The folder comes from ``spark.checkpoint.dir``; only when that is unset (unit
-    tests on one machine) a temporary folder is used instead.
+    Only a session in one process (``local[n]``, as in tests) may leave it unset; it
+    gets a temporary folder that is removed when the driver ends.
     """
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        sc = spark.sparkContext
-        if sc._jsc.sc().getCheckpointDir().isEmpty():
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="codexlake-checkpoint-"))
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+    if "local" not in _own_folder:
+        _own_folder["local"] = tempfile.mkdtemp(prefix="codexlake-")
+        atexit.register(shutil.rmtree, _own_folder["local"], ignore_errors=True)
+    return _own_folder["local"]
+
+
+_own_folder: dict[str, str] = {}
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage through the cluster's shared checkpoint folder."""
+    sc = df.sparkSession.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def fresh(name: str, columns: list[str]) -> str:
+    """A column name that differs from all given ones, whatever their case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def crc_mod(column: str, modulus: int):
     """crc32 of the id written as text, modulo ``modulus`` (the fold of a document)."""
     return F.crc32(F.col(column).cast("string")) % F.lit(modulus)
