@@ -24,8 +24,9 @@ from .hashing import _BYTE, LOWER, SPACE, U
 BUCKET_BITS = 15
 NGRAMS = (2, 3, 4)
 DIMENSIONS = 16
-#: Most labelled documents of each language, and about how many of all, that the model is fitted on.
-SAMPLE, SAMPLE_ALL = 1_500, 96_000
+#: Most labelled documents of each language, and about how many of all, that the model is fitted on; beyond the first
+#: document of each language, those in the order of their ids' hashes until they have so many distinct subwords.
+SAMPLE, SAMPLE_ALL, SAMPLE_SUBWORDS = 1_500, 96_000, 40_000_000
 UNKNOWN = "und"
 _LETTER = regex.compile(r"\p{L}")
 _MUL = U(0x9E3779B97F4A7C15)
@@ -92,8 +93,8 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def train(texts: pa.Array, labels: list[str], epochs: int = 6, rate: float = 2.0, calibrate: float = 0.2,
-          accuracy: float = 0.995, seed: int = 3) -> Model:
+def train(grams: list[tuple[np.ndarray, np.ndarray]], labels: list[str], epochs: int = 6, rate: float = 2.0,
+          calibrate: float = 0.2, accuracy: float = 0.995, seed: int = 3) -> Model:
     """Fit embeddings and softmax by descent, then the temperature and the threshold on the part kept out."""
     languages = sorted(set(labels))
     k = len(languages)
@@ -104,7 +105,6 @@ def train(texts: pa.Array, labels: list[str], epochs: int = 6, rate: float = 2.0
         return Model(languages, np.zeros((1 << BUCKET_BITS, k), np.float32), bias, 1.0, 0.0)
     number = {x: i for i, x in enumerate(languages)}
     y = np.array([number[x] for x in labels])
-    grams = _grams_of(texts)
     order = rng.permutation(len(y))
     n_cal = int(calibrate * len(y))
     kept, fitted = order[:n_cal], order[n_cal:]
@@ -157,7 +157,8 @@ def fit(documents: DataFrame, label: str = "lang", id_column: str = "doc_id", te
     """A model from texts and labels outside the held-out fold (from all, if ``fold`` is None).
 
     About ``SAMPLE`` documents of each label are used, or fewer of each so that there are about
-    ``SAMPLE_ALL``, but one at least, chosen by a hash of the id; null texts and labels take no part.
+    ``SAMPLE_ALL``, but one at least, chosen by a hash of the id, until they have ``SAMPLE_SUBWORDS``;
+    null ids, texts and labels take no part.
     """
     rows = documents.select(
         F.col(id_column).alias("id"), F.col(text_column).alias("text"), F.col(label).cast("string").alias("y")
@@ -167,13 +168,38 @@ def fit(documents: DataFrame, label: str = "lang", id_column: str = "doc_id", te
     rows = rows.withColumn("at", unit_hash(F.col("id").cast("string"), seed=5))
     counts = rows.groupBy("y").agg(F.count("*").alias("n"), F.min("at").alias("least"))
     labels = counts.count()
-    if not labels:
-        return Model([], np.zeros((1 << BUCKET_BITS, 0), np.float32), np.zeros(0), 1.0, 0.0)
-    each = max(1, min(SAMPLE, SAMPLE_ALL // labels))
+    each = max(1, min(SAMPLE, SAMPLE_ALL // max(1, labels)))
     sample = rows.join(F.broadcast(counts), "y").where((F.col("at") < each / F.col("n")) | (F.col("at") == F.col("least")))
-    sample = sample.select("id", "text", "y").limit(2 * (each + 1) * labels)
-    got = sample.toArrow().sort_by([("id", "ascending")])
-    return train(got["text"].combine_chunks() if got.num_rows else pa.array([], pa.string()), got["y"].to_pylist())
+    sample = sample.select("text", "y", "at", "id", (F.col("at") == F.col("least")).alias("first")).limit(2 * (each + 1) * labels)
+
+    def run(batches):
+        grams, y, total = [], [], 0
+        for batch in batches:
+            own, first = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            for at in range(0, batch.num_rows, 100):  # features of few texts at a time
+                for i, g in enumerate(_grams_of(batch.column(0).slice(at, 100)), at):
+                    if first[i] or total < SAMPLE_SUBWORDS:
+                        total += len(g[0])
+                        grams.append(g)
+                        y.append(own[i])
+        m = train(grams, y)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([m.languages], pa.list_(pa.string())), pa.array([m.table.tobytes()], pa.binary()),
+                pa.array([np.asarray(m.bias, float).tolist()], pa.list_(pa.float64())),
+                pa.array([float(m.temperature)]), pa.array([float(m.threshold)]),
+            ],
+            ["languages", "table", "bias", "temperature", "threshold"],
+        )
+
+    # One task fits the model, not the driver, and sees the sample's texts batch by batch.
+    alone = sample.repartition(1).sortWithinPartitions("at", "id").select("text", "y", "first")
+    got = alone.mapInArrow(run, "languages array<string>, table binary, bias array<double>, temperature double, threshold double").collect()
+    if not got:
+        return Model([], np.zeros((1 << BUCKET_BITS, 0), np.float32), np.zeros(0), 1.0, 0.0)
+    m = got[0]
+    weights = np.frombuffer(bytes(m.table), np.float32).reshape(1 << BUCKET_BITS, len(m.languages))
+    return Model(list(m.languages), weights, np.array(m.bias), m.temperature, m.threshold)
 
 
 class Predictor:
@@ -199,18 +225,20 @@ class Predictor:
         return label, score, rejected
 
 
-def identify(documents: DataFrame, model: Model, text_column: str = "text") -> DataFrame:
-    """All columns of ``documents`` with ``lang_pred``, ``score`` and ``lang_rejected``, without a shuffle.
+def identify(documents: DataFrame, model: Model, text_column: str = "text",
+             into: tuple[str, str, str] = ("lang_pred", "score", "lang_rejected")) -> DataFrame:
+    """All columns of ``documents``, the label, its score and whether it is rejected (named by ``into``), without a shuffle.
 
     A text that is null or has no letter is ``und`` with score 0 and rejected.
-    Other texts always get a learned label; ``lang_rejected`` says that its
-    calibrated confidence is below the threshold. Existing columns of these
-    names are replaced.
+    Other texts always get a learned label (``und`` if none was learned); they are rejected if their
+    calibrated confidence is below the threshold. Of equally likely labels the first by name is
+    taken. Whole texts count, however long; repeated rows are answered each; an empty table
+    gives no rows. Existing columns named in ``into`` are replaced.
     """
-    documents = documents.drop("lang_pred", "score", "lang_rejected")
+    documents = documents.drop(*into)
     sent = documents.sparkSession.sparkContext.broadcast(model)
     at = documents.columns.index(text_column)
-    added = (("lang_pred", StringType()), ("score", DoubleType()), ("lang_rejected", BooleanType()))
+    added = zip(into, (StringType(), DoubleType(), BooleanType()))
     schema = StructType([*documents.schema.fields, *(StructField(name, kind, False) for name, kind in added)])
 
     def run(batches):
@@ -219,7 +247,7 @@ def identify(documents: DataFrame, model: Model, text_column: str = "text") -> D
             label, score, rejected = predictor(batch.column(at))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(label, pa.string()), pa.array(score), pa.array(rejected)],
-                [*batch.schema.names, "lang_pred", "score", "lang_rejected"],
+                [*batch.schema.names, *into],
             )
 
     return documents.mapInArrow(run, schema)

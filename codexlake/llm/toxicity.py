@@ -2,9 +2,9 @@
 
 Words are runs of ASCII letters, digits and non-ASCII bytes, with A-Z lowered.
 Features of a text are the set of its words, their stems (words cut to a few
-bytes), word pairs and pairs that skip one word, hashed to ``2**FEATURE_BITS`` buckets. Training sees a bounded sample of labelled
-documents on the driver; per-coordinate rates and the L1 term leave a few
-thousand non-zero weights at most, which is what is broadcast.
+bytes), word pairs and pairs that skip one word, hashed to ``2**FEATURE_BITS`` buckets. One task trains on a bounded
+sample of labelled documents; per-coordinate rates and the L1 term leave a few
+thousand non-zero weights, which is what is broadcast (the sample's bound is theirs too).
 """
 
 from __future__ import annotations
@@ -22,10 +22,9 @@ from .hashing import LOWER, PUNCT, U, mix, span_hashes, word_spans
 
 #: Buckets of the hashing trick.
 FEATURE_BITS = 24
-#: Most labelled rows of each class that the model is fitted on.
-SAMPLE_POSITIVE, SAMPLE_NEGATIVE = 2_500, 5_000
-#: A weight's bound on the number that is broadcast; the smallest beyond it are dropped.
-MOST_WEIGHTS = 50_000
+#: About the most labelled rows of each class that the model is fitted on, and, in the order of their ids' hashes,
+#: the distinct features of a row's text that they may have in all.
+SAMPLE_POSITIVE, SAMPLE_NEGATIVE, SAMPLE_FEATURES = 2_500, 5_000, 40_000_000
 
 #: Lengths in bytes to which longer words are also cut, so that inflected forms share a feature.
 STEMS = (4, 5, 6)
@@ -119,8 +118,6 @@ def train(sets: list[np.ndarray], labels: np.ndarray, prior: float, alpha: float
     p = min(max(prior, 1e-4), 1 - 1e-4)
     bias += np.log(p / (1 - p)) - np.log(share / (1 - share))
     keep = np.flatnonzero(w)
-    keep = keep[np.argsort(-np.abs(w[keep]), kind="stable")[:MOST_WEIGHTS]]
-    keep.sort()
     return Model(seen[keep].astype(np.int64), w[keep], float(bias))
 
 
@@ -129,8 +126,9 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", id_column
     """A model from the labelled documents outside the held-out fold (all labelled ones if ``fold`` is None).
 
     Null labels and ids take no part; a document labelled more than once counts
-    as positive if any row says so. At most ``SAMPLE_POSITIVE`` and ``SAMPLE_NEGATIVE``
-    rows are used, chosen by a hash of the id.
+    as positive if any row says so. About ``SAMPLE_POSITIVE`` and ``SAMPLE_NEGATIVE``
+    rows are used, chosen by a hash of the id, until they have ``SAMPLE_FEATURES``. Without
+    labels of both kinds every text gets the share of positives (a tenth, if there are none).
     """
     rows = labels.select(F.col(id_column).cast("long").alias("id"), F.col(label).cast("int").alias("y"))
     rows = rows.where("id is not null and y is not null")
@@ -142,17 +140,37 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", id_column
     if not total:
         return train([], np.empty(0), 0.1)
     share = {y: min(1.0, most / max(1, counts.get(y, 0))) for y, most in ((1, SAMPLE_POSITIVE), (0, SAMPLE_NEGATIVE))}
-    rows = rows.where(unit_hash(F.col("id"), seed=11) < F.when(F.col("y") == 1, share[1]).otherwise(share[0]))
+    at = unit_hash(F.col("id"), seed=11).alias("at")
+    rows = rows.select("id", "y", at).where(F.col("at") < F.when(F.col("y") == 1, share[1]).otherwise(share[0]))
     rows = rows.limit(2 * (SAMPLE_POSITIVE + SAMPLE_NEGATIVE))
     sample = (
-        documents.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
-        .where("text is not null").join(F.broadcast(rows), "id").select("id", "y", "text")
+        documents.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
+        .where("text is not null").join(F.broadcast(rows), "id")
     )
-    got = sample.toArrow().sort_by([("id", "ascending")])
-    y = got["y"].to_numpy().astype(float)
-    sets = feature_sets(got["text"])
-    del got
-    return train(sets, y, counts.get(1, 0) / total)
+    prior = counts.get(1, 0) / total
+
+    def run(batches):
+        sets, y, size = [], [], 0
+        for batch in batches:
+            own = batch.column(1).to_pylist()
+            for at in range(0, batch.num_rows, 100):  # features of few texts at a time
+                for i, features in enumerate(feature_sets(batch.column(0).slice(at, 100)), at):
+                    if size < SAMPLE_FEATURES:
+                        size += len(features)
+                        sets.append(features)
+                        y.append(own[i])
+        m = train(sets, np.array(y, float), prior)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([m.buckets.tobytes()], pa.binary()), pa.array([m.weights.tobytes()], pa.binary()), pa.array([float(m.bias)])],
+            ["buckets", "weights", "bias"],
+        )
+
+    # One task trains the model, not the driver, and sees the sample's texts batch by batch.
+    alone = sample.repartition(1).sortWithinPartitions("at", "id", "text").select("text", "y")
+    got = alone.mapInArrow(run, "buckets binary, weights binary, bias double").collect()
+    if not got:
+        return train([], np.empty(0), prior)
+    return Model(np.frombuffer(bytes(got[0].buckets), np.int64), np.frombuffer(bytes(got[0].weights), float), got[0].bias)
 
 
 class Scorer:
@@ -174,9 +192,6 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(out, -50, 50)))
 
 
-_scorers: dict[str, Scorer] = {}
-
-
 def score(documents: DataFrame, model: Model, text_column: str = "text", into: str = "score") -> DataFrame:
     """All columns of ``documents`` and the score (0 to 1) of each whole text, without a shuffle.
 
