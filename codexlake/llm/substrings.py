@@ -10,8 +10,8 @@
 3. Segments of shared anchors are sent once for each content and task, with the
    least document that holds it, to the shard of their anchor. Frequent k-grams
    being last, a passage that many documents share gives few contents.
-4. Each shard builds a compressed FM-index of its contents and streams them
-   through it: backward search gives the stretches of ``window`` words or more
+4. Each shard builds compressed FM-indexes of its contents and streams them
+   through them: backward search gives the stretches of ``window`` words or more
    that also occur under a smaller document id.
 5. Stretches go back to all documents that hold the content, and the words kept
    are put together.
@@ -26,13 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, string_buffers, text_blocks
+from .common import checkpointed, fresh, string_buffers, text_blocks
 from .fmindex import FMIndex, covered
 from .hashing import U, fold, grams, mix, word_hashes, word_spans
 from .heavy import Counter, heavy_hashes, is_heavy
 
-#: Words of an anchor; documents from which a k-gram counts as frequent; words that one index holds.
-ANCHOR, FREQUENT, INDEX_WORDS = 8, 16, 300_000
+#: Words of an anchor; documents from which a k-gram counts as frequent; words that one index holds; words of the
+#: corpus for each shard; parts into which a class of documents with equal words is dealt.
+ANCHOR, FREQUENT, INDEX_WORDS, SHARD_WORDS, SALTS = 8, 16, 300_000, 3_000_000, 8
 _TOP = U(1) << U(63)
 
 
@@ -79,8 +80,8 @@ def blocks(texts: pa.Array):
 
 
 def _survey(docs: DataFrame, window: int) -> DataFrame:
-    """Rows (doc_id, n, c1, c2) for documents and (hash, n) for a task's frequent k-grams."""
-    names = ["doc_id", "n", "c1", "c2", "hash"]
+    """Rows (doc_id, key, n, c1, c2) for documents and (hash, n) for a task's frequent k-grams."""
+    names = ["doc_id", "key", "n", "c1", "c2", "hash"]
 
     def run(batches):
         counter = Counter()
@@ -95,13 +96,13 @@ def _survey(docs: DataFrame, window: int) -> DataFrame:
                     if end - begin >= window:
                         counter.add(np.unique(g[begin : end - ANCHOR + 1]))
             both = [pa.array(np.array(c, U).view(np.int64)) for c in (c1, c2)]
-            cols = [batch.column(0), pa.array(n, pa.int64()), *both, pa.nulls(len(n), pa.int64())]
+            cols = [batch.column(0), batch.column(2), pa.array(n, pa.int64()), *both, pa.nulls(len(n), pa.int64())]
             yield pa.RecordBatch.from_arrays(cols, names)
         top = counter.top()
         none = pa.nulls(top.num_rows, pa.int64())
-        yield pa.RecordBatch.from_arrays([none, top.column(1), none, none, top.column(0)], names)
+        yield pa.RecordBatch.from_arrays([none, none, top.column(1), none, none, top.column(0)], names)
 
-    return docs.mapInArrow(run, "doc_id long, n long, c1 long, c2 long, hash long")
+    return docs.mapInArrow(run, "doc_id long, key long, n long, c1 long, c2 long, hash long")
 
 
 def _anchors(docs: DataFrame, window: int, heavy, shards: int) -> DataFrame:
@@ -162,13 +163,13 @@ def _anchors(docs: DataFrame, window: int, heavy, shards: int) -> DataFrame:
     return packed.repartitionById(shards, F.col("shard")).mapInArrow(match, "doc_id long, anchors binary")
 
 
-SEGMENT = "doc_id long, start long, n long, c1 long, c2 long, anchor long, words binary"
+SEGMENT = "doc_id long, key long, start long, n long, c1 long, c2 long, anchor long, words binary"
 
 
 def _segments(docs: DataFrame, shared: DataFrame, window: int, heavy) -> DataFrame:
     """Occurrences (no words) of the segments with shared anchors, and each content once for each task."""
     gathered = shared.groupBy("doc_id").agg(F.collect_list("anchors").alias("anchors"))
-    rows = docs.join(gathered, "doc_id").select("doc_id", "text", "anchors")
+    rows = docs.join(gathered, "doc_id").select("doc_id", "text", "anchors", "key")
     names = [x.split()[0] for x in SEGMENT.split(", ")]
 
     def run(batches):
@@ -176,16 +177,16 @@ def _segments(docs: DataFrame, shared: DataFrame, window: int, heavy) -> DataFra
         held = 0
 
         def flush():
-            got = [(v[0], 0, v[1], *key, v[2], v[3]) for key, v in contents.items()]
-            cols = list(zip(*got)) or [()] * 7
-            kinds = [pa.int64()] * 6 + [pa.binary()]
+            got = [(v[0], 0, 0, v[1], *key, v[2], v[3]) for key, v in contents.items()]
+            cols = list(zip(*got)) or [()] * 8
+            kinds = [pa.int64()] * 7 + [pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
 
         for batch in batches:
             data, offsets = string_buffers(batch.column(1))
-            ids = batch.column(0).to_pylist()
+            ids, row_keys = batch.column(0).to_pylist(), batch.column(3).to_pylist()
             own = [np.sort(np.frombuffer(b"".join(x), U)) for x in batch.column(2).to_pylist()]
-            out = [[] for _ in range(6)]
+            out = [[] for _ in range(7)]
             for a, b in text_blocks(offsets):
                 raw = data[offsets[a] : offsets[b]]
                 local = offsets[a : b + 1] - offsets[a]
@@ -204,7 +205,7 @@ def _segments(docs: DataFrame, shared: DataFrame, window: int, heavy) -> DataFra
                         held += len(span)
                     else:
                         have[0] = min(have[0], ids[a + i])
-                    for c, v in zip(out, (ids[a + i], s, m, *key, int(np.array(x).view(np.int64)))):
+                    for c, v in zip(out, (ids[a + i], row_keys[a + i], s, m, *key, int(np.array(x).view(np.int64)))):
                         c.append(v)
             cols = [pa.array(c, pa.int64()) for c in out]
             yield pa.RecordBatch.from_arrays([*cols, pa.nulls(len(out[0]), pa.binary())], names)
@@ -220,15 +221,22 @@ def _stretches(contents: DataFrame, window: int, shards: int) -> DataFrame:
     """For each content its least document and the stretches that a smaller document holds too."""
 
     def solve(group: dict):
+        """Contents go through indexes of about ``INDEX_WORDS`` words, each of those with smaller documents."""
+        items = sorted(group.items(), key=lambda x: x[1][0])
         vocabulary: dict[bytes, int] = {}
         texts = []
-        for _, _, span in group.values():
+        for _, (_, _, span) in items:
             texts.append(np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in span.split()], np.int64))
-        docs = np.array([v[0] for v in group.values()], np.int64)
-        _, owners = np.unique(docs, return_inverse=True)
-        index = FMIndex(texts, owners, len(vocabulary) + 1)
-        found = covered(index, texts, owners, window)
-        for (key, v), own in zip(group.items(), found):
+        _, owners = np.unique(np.array([v[0] for _, v in items], np.int64), return_inverse=True)
+        found: list[list] = [[] for _ in items]
+        block = np.cumsum([len(t) for t in texts]) // INDEX_WORDS
+        for number in np.unique(block).tolist():
+            some = np.flatnonzero(block == number)
+            index = FMIndex([texts[i] for i in some], owners[some], len(vocabulary) + 1)
+            later = np.flatnonzero(owners > owners[some[0]])
+            for i, own in zip(later.tolist(), covered(index, [texts[i] for i in later], owners[later], window)):
+                found[i] += own
+        for (key, v), own in zip(items, found):
             yield key[0], key[1], v[0], np.array(own, np.int32).tobytes()
 
     def emit(groups):
@@ -247,7 +255,7 @@ def _stretches(contents: DataFrame, window: int, shards: int) -> DataFrame:
         group: dict = {}
         size = 0
         for part in by_anchor.values():
-            if len(part) == 1 and not _may_repeat(part):
+            if len(part) == 1:  # a lone content has no other to share windows with
                 (key, v), = part.items()
                 yield pa.RecordBatch.from_pylist(
                     [{"c1": key[0], "c2": key[1], "least": v[0], "stretches": b""}],
@@ -267,32 +275,38 @@ def _stretches(contents: DataFrame, window: int, shards: int) -> DataFrame:
     return cols.repartitionById(shards, shard).mapInArrow(run, "c1 long, c2 long, least long, stretches binary")
 
 
-def _may_repeat(part: dict) -> bool:
-    """A lone content has no other to share windows with."""
-    return len(part) > 1
-
-
 def _cuts(docs: DataFrame, window: int) -> DataFrame:
-    """(doc_id, cuts): the stretches of words to remove from each document that loses any."""
+    """(doc_id, key, cuts): the stretches of words to remove from each row of (doc_id, text, key) that loses any.
+
+    The key is a hash of the text, so rows that repeat an id have cuts of their own.
+    """
     spark = docs.sparkSession
-    shards = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     named = docs.where("doc_id is not null and text is not null")
     survey = checkpointed(_survey(named, window))
     heavy = heavy_hashes(survey.where("hash is not null").select("hash", "n"), FREQUENT)
     heavy = spark.sparkContext.broadcast(heavy)
-    whole = survey.where(f"hash is null and n >= {window}").select("doc_id", "n", "c1", "c2")
+    total = survey.where("hash is null").agg(F.sum("n")).collect()[0][0] or 0
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // SHARD_WORDS))
+    whole = survey.where(f"hash is null and n >= {window}").select("doc_id", "key", "n", "c1", "c2")
     classes = whole.groupBy("c1", "c2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
-    copies = whole.join(classes, ["c1", "c2"]).where("doc_id > least")
-    copies = copies.select("doc_id", F.lit(0).cast("long").alias("start"), "n", F.lit(None).cast("binary").alias("stretches"))
+    classes = classes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = whole.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    copies = salted.join(classes, ["c1", "c2", "salt"]).where("doc_id > least")
+    copies = copies.select("doc_id", "key", F.lit(0).cast("long").alias("start"), "n", F.lit(None).cast("binary").alias("stretches"))
     shared = _anchors(named, window, heavy, shards)
     found = checkpointed(_segments(named, shared, window, heavy))
     stretches = _stretches(found.where("words is not null"), window, shards)
-    held = found.where("words is null").select("doc_id", "start", "n", "c1", "c2")
+    held = found.where("words is null").select("doc_id", "key", "start", "n", "c1", "c2")
     cut = held.join(stretches, ["c1", "c2"]).where("doc_id > least or length(stretches) > 0")
     own = F.when(F.col("doc_id") == F.col("least"), F.col("stretches"))
-    cut = cut.select("doc_id", "start", "n", own.alias("stretches")).union(copies)
-    cut = cut.select("doc_id", F.struct("start", "n", "stretches").alias("s"))
-    return cut.groupBy("doc_id").agg(F.collect_list("s").alias("cuts"))
+    cut = cut.select("doc_id", "key", "start", "n", own.alias("stretches")).union(copies)
+    cut = cut.select("doc_id", "key", F.struct("start", "n", "stretches").alias("s"))
+    return cut.groupBy("doc_id", "key").agg(F.collect_set("s").alias("cuts"))
+
+
+def _keyed(documents: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    text = documents[text_column].cast("string")
+    return documents.select(documents[id_column].cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("key"))
 
 
 def kept_words(text: str | None, cuts) -> tuple[int, list[bytes]]:
@@ -325,10 +339,8 @@ def dedup_substrings(documents: DataFrame, window: int = 50, id_column: str = "d
     loses nothing and is no one's original. Other columns are ignored; an empty
     table gives no rows.
     """
-    docs = documents.select(
-        documents[id_column].cast("long").alias("doc_id"), documents[text_column].cast("string").alias("text")
-    )
-    rows = docs.join(_cuts(docs, window), "doc_id", "left").select("doc_id", "text", "cuts")
+    docs = _keyed(documents, id_column, text_column)
+    rows = docs.join(_cuts(docs, window), ["doc_id", "key"], "left").select("doc_id", "text", "cuts")
     names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
 
     def run(batches):
@@ -352,14 +364,16 @@ def strip_substrings(documents: DataFrame, window: int = 50, id_column: str = "d
     """The documents with repeated stretches removed from their texts; all columns are kept.
 
     The rule is that of ``dedup_substrings``. A text that loses nothing stays as
-    it is, white space included; another is its kept words joined by one blank.
+    it is, white space included; another is its kept words joined by one blank. Columns
+    of any other name are kept as they are; a null text stays null.
     """
-    docs = documents.select(
-        documents[id_column].cast("long").alias("doc_id"), documents[text_column].cast("string").alias("text")
-    )
-    cuts = _cuts(docs, window).select(F.col("doc_id").alias("__id"), F.col("cuts").alias("__cuts"))
-    rows = documents.join(cuts, documents[id_column] == F.col("__id"), "left").drop("__id")
-    at, names = documents.columns.index(text_column), documents.columns
+    cuts = _cuts(_keyed(documents, id_column, text_column), window)
+    names = documents.columns
+    id_, key, own = fresh("id", names), fresh("key", names), fresh("cuts", names)
+    cuts = cuts.select(F.col("doc_id").alias(id_), F.col("key").alias(key), F.col("cuts").alias(own))
+    same = (documents[id_column].cast("long") == cuts[id_]) & (F.xxhash64(documents[text_column].cast("string")) == cuts[key])
+    rows = documents.join(cuts, same, "left").drop(id_, key)
+    at = names.index(text_column)
 
     def run(batches):
         for batch in batches:
