@@ -45,6 +45,24 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows from which a key counts as common.
+COMMON = 1_000
+
+
+def lookup(rows: DataFrame, values: DataFrame, keys: list[str], count: str) -> DataFrame:
+    """Inner join of rows with values, which have each key once and the number of its rows in ``count``.
+
+    Common keys are broadcast: there are at most a thousandth as many as rows. All others are dealt out by key,
+    so no task gets more than ``COMMON`` rows of a key.
+    """
+    found = F.lit(True).alias("__common")
+    common = values.where(F.col(count) >= COMMON).select(*keys, found)
+    marked = rows.join(F.broadcast(common), keys, "left")
+    few = marked.where("__common is null").drop("__common").join(values.where(F.col(count) < COMMON), keys)
+    many = marked.where("__common").drop("__common").join(F.broadcast(values.where(F.col(count) >= COMMON)), keys)
+    return few.unionByName(many)
+
+
 def fresh(name: str, columns: list[str]) -> str:
     """A column name that differs from all given ones, whatever their case."""
     taken = {c.lower() for c in columns}
