@@ -29,6 +29,8 @@ from .tokens import MEMO, PLAIN, WORD, byte_alphabet, encoder
 CHUNK, MOST_STATES = 1 << 16, 200_000
 _START = -1
 _END = "</w>"
+#: Added to the changes of a table in which -1 stands for one that is not yet known; a change is less than the longest token.
+_SHIFT = 64
 
 
 class Transducer:
@@ -53,8 +55,8 @@ class Transducer:
         self.states: dict[tuple, int] = {}
         self.keys: list[tuple] = []
         self.next = np.empty((0, 0), np.int32)
-        self.emits = np.empty((0, 0), np.int16)
-        self.ends = np.empty((0, 0), np.int16)
+        self.emits = np.empty((0, 0), np.int8)
+        self.ends = np.empty((0, 0), np.int8)
         self.state(("", ((_START, 0),)))
         if len(self.fits) > 1_000_000:
             self.fits.clear()
@@ -70,7 +72,12 @@ class Transducer:
     def _room(self, states: int, columns: int) -> None:
         have = self.next.shape
         if states > have[0] or columns > have[1]:
-            shape = (max(have[0], 1 << (states - 1).bit_length(), 1024), max(have[1], 1 << max(columns - 1, 31).bit_length()))
+            rows, wide = have
+            if states > rows:
+                rows = -(-(states + states // 4) // 1024) * 1024
+            if columns > wide:
+                wide = -(-columns // 8) * 8
+            shape = rows, wide
             for name, empty in (("next", -1), ("emits", 0), ("ends", -1)):
                 old = getattr(self, name)
                 new = np.full(shape, empty, old.dtype)
@@ -117,7 +124,7 @@ class Transducer:
         token, change, text = self._last(key, symbol, final)
         column = self.column[byte]
         if final:
-            self.ends[state, column] = change + (1 << 12)
+            self.ends[state, column] = change + _SHIFT
             return
         history = [(token, 0), *(h and (h[0], h[1] + change) for h in key[1])]
         suffix = text
@@ -157,7 +164,7 @@ class Transducer:
                     for x in lacks.tolist():
                         self.compile(x >> 8, x & 255, final)
             total[:more] += self.emits[state[:more], column[:more]]
-            total[more:live] += self.ends[state[more:live], column[more:live]] - (1 << 12)
+            total[more:live] += self.ends[state[more:live], column[more:live]].astype(np.int64) - _SHIFT
             state[:more] = self.next[state[:more], column[:more]]
         out = np.empty(len(words), np.int64)
         out[order] = total
@@ -215,6 +222,8 @@ class TokenCounter:
     def fragment(self, text: str) -> int:
         if not text:
             return 0
+        if len(text) > CHUNK:  # too long to be remembered
+            return self.learn({text})[text]
         self.know([[text]])
         return self.memo[text]
 
@@ -242,6 +251,13 @@ class TokenCounter:
             step *= 2
         return maps
 
+    def whole(self, text: str, size: int = CHUNK) -> int:
+        """The number of tokens of a text, its chunks' maps composed pair by pair."""
+        maps = [self.chunk_map(text[i : i + size]) for i in range(0, len(text), size)]
+        while len(maps) > 1:
+            maps = [self.compose(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
+        return sum(self.fragment(m.head) + m.count + self.fragment(m.tail or "") for m in maps)
+
     def running(self, text: str, size: int = CHUNK) -> list[int]:
         """The number of tokens up to the end of each chunk of ``size`` characters."""
         maps = self.scan([self.chunk_map(text[i : i + size]) for i in range(0, len(text), size)])
@@ -254,7 +270,7 @@ class TokenCounter:
             if any(s in text for s in self.library.odd):
                 out[i] = len(self.library.whole(text)) // 4
             elif len(text) > CHUNK:
-                out[i] = self.running(text)[-1]
+                out[i] = self.whole(text)
             else:
                 plain.append((i, text.split()))
         for at in range(0, len(plain), 500):
