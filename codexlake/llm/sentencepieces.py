@@ -28,6 +28,8 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
+from .common import tidy
+
 MARK = "▁"
 #: Words that a memo holds, and characters of the longest one; pairs of pieces whose fit is remembered; bytes of text worked on at a time.
 MEMO, LONGEST, PAIRS, BLOCK = 250_000, 64, 1_000_000, 2 << 20
@@ -320,33 +322,38 @@ def encoder(path: str, kind: str = "bpe") -> Encoder:
     return _loaded[path, kind]
 
 
-def encode(documents: DataFrame, model: str, kind: str = "bpe", text_column: str = "text", into: str = "ids") -> DataFrame:
+def encode(documents: DataFrame, model: str, kind: str = "bpe", text_column: str = "text", into: str = "ids",
+           decoded: str | None = None) -> DataFrame:
     """All columns and the ids of each whole text (array of int; null for a null text), without a shuffle.
 
     ``kind`` says how the model segments: "unigram" carries Viterbi scores forward, "bpe" (whose result is no
     best score) the last piece. Columns called ``into``, ``into``_crc32 (over the ids as little-endian unsigned 32-bit
-    numbers) or ``into``_n are replaced, all others kept. An empty text has no ids; repeated rows are encoded each;
-    an empty table gives no rows.
+    numbers) or ``into``_n are replaced, all others kept. With ``decoded`` the ids are decoded again in the same pass,
+    into a column of that name. An empty text has no ids; repeated rows are encoded each; an empty table gives no rows.
     """
-    documents = documents.drop(into, f"{into}_n", f"{into}_crc32")
-    at, names = documents.columns.index(text_column), documents.columns
     added = [StructField(into, ArrayType(IntegerType(), False)), StructField(f"{into}_n", LongType()), StructField(f"{into}_crc32", LongType())]
+    if decoded:
+        added.append(StructField(decoded, StringType()))
+    documents = documents.drop(*(f.name for f in added))
+    at, names = documents.columns.index(text_column), documents.columns
 
     def run(batches):
         enc = encoder(model, kind)
         for whole in batches:
             for batch in slices(whole, whole.column(at)):
                 raw = enc.encode_all(batch.column(at).to_pylist())
-                n = np.array([0 if r is None else len(r) // 4 for r in raw], np.int64)
-                nulls = pa.array([r is None for r in raw], pa.bool_())
-                offsets = np.r_[0, np.cumsum(n)].astype(np.int32)
-                values = pa.Array.from_buffers(pa.int32(), int(n.sum()), [None, pa.py_buffer(b"".join(r for r in raw if r))])
-                ids = pa.ListArray.from_arrays(pa.array(offsets), values, mask=nulls)
+                null = np.array([r is None for r in raw], bool)
+                n = np.array([len(r or b"") // 4 for r in raw], np.int64)
+                offsets = np.r_[0, np.cumsum(n)]
+                flat = b"".join(r for r in raw if r)
+                values = pa.Array.from_buffers(pa.int32(), len(flat) // 4, [None, pa.py_buffer(flat)])
                 crc = pa.array([None if r is None else zlib.crc32(r) for r in raw], pa.int64())
-                count = pa.array(n, mask=np.array([r is None for r in raw], bool))
-                yield pa.RecordBatch.from_arrays([*batch.columns, ids, count, crc], [*names, *(f.name for f in added)])
+                columns = [pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), values, mask=pa.array(null)), pa.array(n, mask=null), crc]
+                if decoded:
+                    columns.append(pa.array(enc.decode_all(np.frombuffer(flat, "<i4"), offsets), pa.string(), mask=null))
+                yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*names, *(f.name for f in added)])
 
-    return documents.mapInArrow(run, StructType([*documents.schema.fields, *added]))
+    return documents.mapInArrow(tidy(run), StructType([*documents.schema.fields, *added]))
 
 
 def decode(rows: DataFrame, model: str, kind: str = "bpe", ids_column: str = "ids", into: str = "decoded") -> DataFrame:
@@ -368,7 +375,7 @@ def decode(rows: DataFrame, model: str, kind: str = "bpe", ids_column: str = "id
                 texts = pa.compute.if_else(column.is_valid(), texts, pa.scalar(None, pa.string()))
                 yield pa.RecordBatch.from_arrays([*batch.columns, texts], [*names, into])
 
-    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField(into, StringType())]))
+    return rows.mapInArrow(tidy(run), StructType([*rows.schema.fields, StructField(into, StringType())]))
 
 
 def slices(batch: pa.RecordBatch, column: pa.Array):
