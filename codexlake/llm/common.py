@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 
@@ -71,6 +72,27 @@ def fresh(name: str, columns: list[str]) -> str:
     return name
 
 
+def give_back() -> None:
+    """Returns freed memory to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: nothing to give back by hand
+        pass
+
+
+def tidy(run):
+    """A task's function on batches that gives freed memory back at its end; a Python worker serves one task after another."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped
+
+
 def crc_mod(column: str, modulus: int):
     """crc32 of the id written as text, modulo ``modulus`` (the fold of a document)."""
     return F.crc32(F.col(column).cast("string")) % F.lit(modulus)

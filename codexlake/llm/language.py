@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
-from .common import crc_mod, string_buffers, text_blocks, unit_hash
+from .common import crc_mod, string_buffers, text_blocks, tidy, unit_hash
 from .hashing import _BYTE, LOWER, SPACE, U
 
 BUCKET_BITS = 15
@@ -194,7 +194,7 @@ def fit(documents: DataFrame, label: str = "lang", id_column: str = "doc_id", te
 
     # One task fits the model, not the driver, and sees the sample's texts batch by batch.
     alone = sample.repartition(1).sortWithinPartitions("at", "id").select("text", "y", "first")
-    got = alone.mapInArrow(run, "languages array<string>, table binary, bias array<double>, temperature double, threshold double").collect()
+    got = alone.mapInArrow(tidy(run), "languages array<string>, table binary, bias array<double>, temperature double, threshold double").collect()
     if not got:
         return Model([], np.zeros((1 << BUCKET_BITS, 0), np.float32), np.zeros(0), 1.0, 0.0)
     m = got[0]
@@ -250,4 +250,4 @@ def identify(documents: DataFrame, model: Model, text_column: str = "text",
                 [*batch.schema.names, *into],
             )
 
-    return documents.mapInArrow(run, schema)
+    return documents.mapInArrow(tidy(run), schema)

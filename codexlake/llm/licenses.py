@@ -21,6 +21,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 #: Short notices and opening paragraphs of common licenses.
 TEMPLATES = {
     "Apache-2.0": (
@@ -233,4 +235,4 @@ def scan_licenses(documents: DataFrame, templates: dict[str, tuple[str, ...]] =
             cols = list(zip(*out)) or [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
 
-    return rows.mapInArrow(run, f"doc_id long, {SCHEMA}")
+    return rows.mapInArrow(tidy(run), f"doc_id long, {SCHEMA}")

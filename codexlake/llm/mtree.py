@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, unit_hash
+from .common import checkpointed, tidy, unit_hash
 from .vectors import matrix, usable
 
 #: Entries of a page; rows of a tree; queries that go down a tree together; most pivots, and sampled rows for each.
@@ -175,7 +175,7 @@ def _assign(rows: DataFrame, sent) -> DataFrame:
                 apart[own] = d.min(1)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shard), pa.array(apart)], names)
 
-    return rows.mapInArrow(run, "vec_id long, v array<long>, size int, shard int, apart double")
+    return rows.mapInArrow(tidy(run), "vec_id long, v array<long>, size int, shard int, apart double")
 
 
 def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, id_column: str = "vec_id",
@@ -287,7 +287,7 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, id_
                 )
 
     routed = queries.select("vec_id", "size", "v", "shard").join(floors, "vec_id", "left")
-    routed = routed.mapInArrow(route, "vec_id long, v array<long>, shard int, part int, floor double")
+    routed = routed.mapInArrow(tidy(route), "vec_id long, v array<long>, shard int, part int, floor double")
     found = at_home.union(searched(routed))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

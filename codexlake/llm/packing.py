@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import tidy
 from .tokens import encoder
 
 SCHEMA = (
@@ -200,10 +201,10 @@ def pack(documents: DataFrame, vocabulary: str, window: int = 2048, end_id: int
                 raw = enc.ids(text.as_py() or "") + end
                 held.append((doc, raw))
                 size += len(raw)
-                if len(held) >= batch_rows or size >= 64 << 20:
+                if len(held) >= batch_rows or size >= 32 << 20:
                     yield flush()
         if held:
             yield flush()
 
     columns = documents.select(documents[id_column].cast("long"), documents[text_column].cast("string"))
-    return columns.mapInArrow(run, SCHEMA)
+    return columns.mapInArrow(tidy(run), SCHEMA)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, fresh, string_buffers, text_blocks
+from .common import checkpointed, fresh, string_buffers, text_blocks, tidy
 from .fmindex import FMIndex, covered
 from .hashing import U, fold, grams, mix, word_hashes, word_spans
 from .heavy import Counter, heavy_hashes, is_heavy
@@ -102,7 +102,7 @@ def _survey(docs: DataFrame, window: int) -> DataFrame:
         none = pa.nulls(top.num_rows, pa.int64())
         yield pa.RecordBatch.from_arrays([none, none, top.column(1), none, none, top.column(0)], names)
 
-    return docs.mapInArrow(run, "doc_id long, key long, n long, c1 long, c2 long, hash long")
+    return docs.mapInArrow(tidy(run), "doc_id long, key long, n long, c1 long, c2 long, hash long")
 
 
 def _anchors(docs: DataFrame, window: int, heavy, shards: int) -> DataFrame:
@@ -159,8 +159,8 @@ def _anchors(docs: DataFrame, window: int, heavy, shards: int) -> DataFrame:
             ["doc_id", "anchors"],
         )
 
-    packed = docs.mapInArrow(pack, "shard int, x binary, d binary, c binary")
-    return packed.repartitionById(shards, F.col("shard")).mapInArrow(match, "doc_id long, anchors binary")
+    packed = docs.mapInArrow(tidy(pack), "shard int, x binary, d binary, c binary")
+    return packed.repartitionById(shards, F.col("shard")).mapInArrow(tidy(match), "doc_id long, anchors binary")
 
 
 SEGMENT = "doc_id long, key long, start long, n long, c1 long, c2 long, anchor long, words binary"
@@ -214,7 +214,7 @@ def _segments(docs: DataFrame, shared: DataFrame, window: int, heavy) -> DataFra
                 contents, held = {}, 0
         yield flush()
 
-    return rows.mapInArrow(run, SEGMENT)
+    return rows.mapInArrow(tidy(run), SEGMENT)
 
 
 def _stretches(contents: DataFrame, window: int, shards: int) -> DataFrame:
@@ -272,7 +272,7 @@ def _stretches(contents: DataFrame, window: int, shards: int) -> DataFrame:
 
     cols = contents.select("doc_id", "c1", "c2", "anchor", "words")
     shard = F.pmod(F.xxhash64("anchor"), F.lit(shards)).cast("int")
-    return cols.repartitionById(shards, shard).mapInArrow(run, "c1 long, c2 long, least long, stretches binary")
+    return cols.repartitionById(shards, shard).mapInArrow(tidy(run), "c1 long, c2 long, least long, stretches binary")
 
 
 def _cuts(docs: DataFrame, window: int) -> DataFrame:
@@ -356,7 +356,7 @@ def dedup_substrings(documents: DataFrame, window: int = 50, id_column: str = "d
                 [pa.array(ids, pa.int64()), *(pa.array(c, k) for c, k in zip(out, kinds))], names
             )
 
-    return rows.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return rows.mapInArrow(tidy(run), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def strip_substrings(documents: DataFrame, window: int = 50, id_column: str = "doc_id",
@@ -385,4 +385,4 @@ def strip_substrings(documents: DataFrame, window: int = 50, id_column: str = "d
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return rows.mapInArrow(run, documents.schema)
+    return rows.mapInArrow(tidy(run), documents.schema)

@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import tidy
 from .tokens import MEMO, PLAIN, WORD, byte_alphabet, encoder
 
 #: Characters of a chunk; states after which the tables are begun anew.
@@ -310,4 +311,4 @@ def count_tokens(documents: DataFrame, vocabulary: str, limit: int = 2048, id_co
             yield pa.RecordBatch.from_arrays([batch.column(0), size, pa.array(n), pa.array(n > limit)], names)
 
     columns = documents.select(documents[id_column].cast("long"), documents[text_column].cast("string"))
-    return columns.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return columns.mapInArrow(tidy(run), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import crc_mod, string_buffers, text_blocks, unit_hash
+from .common import crc_mod, string_buffers, text_blocks, tidy, unit_hash
 from .hashing import LOWER, PUNCT, U, mix, span_hashes, word_spans
 
 #: Buckets of the hashing trick.
@@ -167,7 +167,7 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", id_column
 
     # One task trains the model, not the driver, and sees the sample's texts batch by batch.
     alone = sample.repartition(1).sortWithinPartitions("at", "id", "text").select("text", "y")
-    got = alone.mapInArrow(run, "buckets binary, weights binary, bias double").collect()
+    got = alone.mapInArrow(tidy(run), "buckets binary, weights binary, bias double").collect()
     if not got:
         return train([], np.empty(0), prior)
     return Model(np.frombuffer(bytes(got[0].buckets), np.int64), np.frombuffer(bytes(got[0].weights), float), got[0].bias)
@@ -212,4 +212,4 @@ def score(documents: DataFrame, model: Model, text_column: str = "text", into: s
                 [*batch.columns, pa.array(scorer(column))], [*batch.schema.names, into]
             )
 
-    return documents.mapInArrow(run, schema)
+    return documents.mapInArrow(tidy(run), schema)
