@@ -8,9 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .chinese import simplified_table
+
 _UP = "".join(map(chr, range(0x41, 0x5B)))
 #: U+00C0-U+00DE move by 0x20, the multiplication sign included.
 LOWER_FROM = _UP + "".join(map(chr, range(0xC0, 0xDF)))
@@ -21,13 +24,14 @@ UPPER_TO = "".join(chr(ord(c) - 0x20) for c in UPPER_FROM)
 
 # Latin-1 letters and the letter each is searched as.
 _BASE = {
-    "A": "ÀÁÂÃÄÅ", "C": "Ç", "E": "ÈÉÊË", "I": "ÌÍÎÏ", "D": "Ð", "N": "Ñ", "O": "ÒÓÔÕÖØ", "U": "ÙÚÛÜ", "Y": "Ý",
+    "A": "ÀÁÂÃÄÅ", "C": "Ç", "E": "ÈÉÊË", "I": "ÌÍÎÏ", "D": "Ð", "N": "Ñ", "O": "ÒÓÔÕÖØ", "U": "ÙÚÛÜ", "Y": "Ý\x9f",
     "a": "àáâãäå", "c": "ç", "e": "èéêë", "i": "ìíîï", "d": "", "n": "ñ", "o": "òóôõöø", "u": "ùúûü", "y": "ý",
+    "S": "\x8a", "Z": "\x8e", "s": "\x9a", "z": "\x9e",
 }
 DIACRITIC_FROM = "".join(_BASE.values())
 DIACRITIC_TO = "".join(base * len(letters) for base, letters in _BASE.items())
 
-#: A starter set of traditional characters and their simplified forms; give ``fold_zh`` a full table.
+#: Some traditional characters and their simplified forms, for use without a session; see ``chinese`` for all.
 ZH_FROM = "亂並來倉個們偉側優傳債價兒內兩冊決凍劃動務勝勞區協卻厲參吳員問啟喬單嗎園國圍圖圓團塊場壞處備夠夢夾奪奮婦媽學寫寬實審寶對"
 ZH_TO = "乱并来仓个们伟侧优传债价儿内两册决冻划动务胜劳区协却厉参吴员问启乔单吗园国围图圆团块场坏处备够梦夹夺奋妇妈学写宽实审宝对"
 
@@ -37,7 +41,7 @@ URL_ESCAPES = (("%", "%25"), (" ", "%20"), ("<", "%3C"), (">", "%3E"), ('"', "%2
 MIME_TYPES = {
     "html": "text/html", "htm": "text/html", "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif",
     "png": "image/png", "css": "text/css", "au": "audio/basic", "wav": "audio/wav", "avi": "video/x-msvideo",
-    "mpeg": "video/mpeg", "mpg": "video/mpeg", "mp3": "audio/mpeg", "svg": "image/svg+xml", "js": "text/javascript",
+    "mpeg": "video/mpeg", "mpg": "video/mpeg", "mp4": "video/mp4", "mp3": "audio/mpeg", "svg": "image/svg+xml",
 }
 
 
@@ -65,8 +69,9 @@ def zh_table(pairs: Iterable[tuple[str, str]]) -> tuple[str, str]:
     return "".join(first), "".join(first.values())
 
 
-def fold_zh(x, table: tuple[str, str] = (ZH_FROM, ZH_TO)) -> Column:
-    return F.translate(_c(x), *table)
+def fold_zh(x, table: tuple[str, str] | None = None) -> Column:
+    """Traditional characters simplified, by the given table or the full one."""
+    return F.translate(_c(x), *(table or simplified_table()))
 
 
 def key0(x) -> Column:
@@ -74,13 +79,13 @@ def key0(x) -> Column:
     return to_lower(x)
 
 
-def key1(x, lang=None, secondary: bool = True) -> Column:
+def key1(x, lang=None, secondary: bool = True, table: tuple[str, str] | None = None) -> Column:
     """The search key: lower case, then simplified (language ``zh``) or without diacritics if there is a secondary index."""
     low = to_lower(x)
     if not secondary:
         return low
     plain = fold_diacritics(low)
-    return plain if lang is None else F.when(_c(lang) == "zh", fold_zh(low)).otherwise(plain)
+    return plain if lang is None else F.when(_c(lang) == "zh", fold_zh(low, table)).otherwise(plain)
 
 
 def _each_char(x: Column, change) -> Column:
@@ -142,6 +147,10 @@ def starts_with_case(x, prefix: str) -> Column:
     return to_lower(x).startswith(prefix)
 
 
+def starts_with(x, prefix: str) -> Column:
+    return _c(x).startswith(prefix)
+
+
 def split_keep(x, separator: str) -> Column:
     return F.split(_c(x), "[" + separator + "]", -1)
 
@@ -155,9 +164,14 @@ def blanks_to_underscores(x) -> Column:
 
 
 def svg_key(x) -> Column:
-    """The image archive's key of a file name: lower case, drawings under their rendered name."""
+    """The image archive's key of a file name: lower case, drawings under their rendered name.
+
+    A drawing is a name whose first ``.svg`` ends it; archives also hold names of three bytes under such a key.
+    """
     low = to_lower(x)
-    return F.when(low.endswith(".svg"), F.concat(low, F.lit(".png"))).otherwise(low)
+    at = F.instr(low, ".svg")
+    drawing = F.when(at > 0, at == F.length(low) - 3).otherwise(F.octet_length(low) == 3)
+    return F.when(drawing, F.concat(low, F.lit(".png"))).otherwise(low)
 
 
 def cache_key(x) -> Column:
@@ -167,6 +181,54 @@ def cache_key(x) -> Column:
     return out
 
 
+def latin1_decode(x) -> Column:
+    """Text of bytes that stand for one Latin-1 letter each."""
+    return F.decode(_c(x), "ISO-8859-1")
+
+
+def latin1_encode(x) -> Column:
+    """Bytes of one Latin-1 letter each; a character of three (four) bytes in UTF-8 becomes two (three) number signs.
+
+    One of two bytes beyond Latin-1 keeps the low byte of its code point.
+    """
+    def one(c):
+        size = F.octet_length(F.encode(c, "UTF-8"))
+        low = F.unhex(F.lpad(F.hex(F.ascii(c).bitwiseAND(F.lit(255))), 2, "0"))
+        return F.when(size >= 4, F.encode(F.lit("###"), "UTF-8")).when(size == 3, F.encode(F.lit("##"), "UTF-8")).otherwise(low)
+
+    return F.when(_c(x) == "", F.encode(F.lit(""), "UTF-8")).otherwise(F.unhex(F.array_join(F.transform(F.split(_c(x), ""), lambda c: F.hex(one(c))), "")))
+
+
+def utf8_decode(x) -> Column:
+    """Text of UTF-8 bytes; a byte that begins no character gives a question mark, a character that is cut off at the end nothing."""
+
+    @F.pandas_udf("string")
+    def run(raw: pd.Series) -> pd.Series:
+        return raw.map(lambda b: None if b is None else lenient(bytes(b)))
+
+    valid = F.is_valid_utf8(_c(x).cast("string"))
+    return F.when(valid, _c(x).cast("string")).otherwise(run(_c(x)))
+
+
+def lenient(raw: bytes) -> str:
+    out, at = [], 0
+    while at < len(raw):
+        lead = raw[at]
+        size = 1 if lead < 0x80 else 2 if lead >> 5 == 6 else 3 if lead >> 4 == 14 else 4 if lead >> 3 == 30 else 0
+        if size < 2:
+            out.append(chr(lead) if size else "?")
+            at += 1
+            continue
+        if at + size > len(raw):
+            break
+        code = lead & (0x7F >> size)
+        for byte in raw[at + 1 : at + size]:
+            code = code << 6 | byte & 0x3F
+        out.append(chr(code) if code < 0x110000 and not 0xD800 <= code < 0xE000 else "?")
+        at += size
+    return "".join(out)
+
+
 def strip_comments(x) -> Column:
     """Without ``<!-- -->``; one that is never closed takes the rest with it."""
     return F.regexp_replace(_c(x), r"(?s)<!--.*?(-->|\z)", "")

@@ -31,7 +31,7 @@ class Context:
     n_articles: int = 0
     now: datetime = datetime(2000, 1, 1)
     compat: bool = True
-    depth: int = 40
+    depth: int = 100
 
     def template_prefix(self) -> str:
         return f"{self.template_namespace}:" if self.template_namespace else self.config.get("templatePrefix", "Template:")

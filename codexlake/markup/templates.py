@@ -1,7 +1,7 @@
 """Template expansion: calls, parser functions, variables, arguments.
 
-``Expander.expand`` replaces every ``{{...}}`` outside raw areas. Depth is bounded;
-a call nested deeper expands to nothing.
+``Expander.expand`` replaces every ``{{...}}`` outside raw areas. A call that comes up
+inside itself expands to nothing, as does one nested deeper than the context allows.
 """
 
 from __future__ import annotations
@@ -77,10 +77,12 @@ def bind(arguments: str) -> list[tuple[str, str, str]]:
 
 
 def substitute(body: str, arguments: list[tuple[str, str, str]], most: int = 10_000) -> str:
-    """Replaces ``{{{name|default}}}``; what was put in is looked through again, at most ``most`` times."""
+    """Replaces ``{{{name|default}}}``; what was put in is looked through again.
+
+    A value that holds arguments itself may put itself in without end; so ``most`` such values are looked through.
+    """
     at = 0
     while most and (at := body.find("{{{", at)) >= 0:
-        most -= 1
         begin = at + 3
         while body[begin : begin + 1] == "{":
             begin += 1
@@ -98,15 +100,31 @@ def substitute(body: str, arguments: list[tuple[str, str, str]], most: int = 10_
         name, _, default = S.trim(body[begin : end - 3]).partition("|")
         name = S.trim(name)
         value = next((v for position, n, v in arguments if name in (n, position)), "") or default
+        most -= "{{{" in value
         at = begin - 3
         body = body[:at] + value + body[end:]
     return body
 
 
+def call_arguments(text: str) -> list[tuple[int, str, int, str, str]]:
+    """(call, template, position, name, value) of the arguments of a text's outermost calls."""
+    out, at, call = [], 0, 0
+    text = S.COMMENT.sub("", text)
+    while (begin := text.find("{{", at)) >= 0:
+        end = Expander.closing(text, begin + 2)
+        if end is None:
+            break
+        call += 1
+        name, *rest = S.split_top(text[begin + 2 : end - 2], 1)
+        out += [(call, S.trim(name), int(position), key, value) for position, key, value in bind(rest[0] if rest else "")]
+        at = end
+    return out
+
+
 class Expander:
     def __init__(self, context: Context):
         self.c = context
-        self.level = 0
+        self.open: list[str] = []
 
     # -- scanning
 
@@ -155,22 +173,18 @@ class Expander:
         return None
 
     def call_fully(self, inner: str) -> str:
-        """A call's text, expanded again until it no longer changes."""
-        if self.level >= self.c.depth:
+        """A call's text, expanded again until it no longer changes; a call inside itself, or too deep, gives nothing."""
+        if inner in self.open or len(self.open) >= self.c.depth:
             return ""
-        self.level += 1
+        self.open.append(inner)
         try:
-            got = self.call(inner) or ""
-            for _ in range(self.c.depth):
-                if len(got) <= 4:
-                    break
-                again = self.expand(got)
-                if again == got:
-                    break
-                got = again
+            got, seen = self.call(inner) or "", set()
+            while len(got) > 4 and got not in seen and len(seen) < self.c.depth:
+                seen.add(got)
+                got = self.expand(got)
             return got
         finally:
-            self.level -= 1
+            self.open.pop()
 
     def inside(self, text: str) -> str:
         """An argument with its own calls expanded and then trimmed; one without calls stays as it is."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -85,3 +86,14 @@ def ordered_concat(rows: DataFrame, group: list[str], value: str, order: list[st
     """Values of a group joined in order, duplicates kept."""
     pairs = F.sort_array(F.collect_list(F.struct(*order, F.col(value).alias("__v"))))
     return rows.groupBy(*group).agg(F.array_join(F.transform(pairs, lambda p: p["__v"]), separator).alias(into))
+
+
+def template_arguments(articles: DataFrame) -> DataFrame:
+    """(title, call, template, position, name, value) of the arguments of each article's outermost calls, numbered as a template sees them."""
+    from ..markup.templates import call_arguments
+
+    @F.pandas_udf("array<struct<call int, template string, position int, name string, value string>>")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [] if t is None else call_arguments(t))
+
+    return articles.select("title", F.inline(run("body")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..checkpoints import checkpointed
 from ..functions import text as X
 from .titles import disambiguate
 
@@ -57,15 +58,12 @@ def setting(rows: DataFrame, config: DataFrame, key: str, default: str, into: st
 def closure(edges: DataFrame, start: DataFrame) -> DataFrame:
     """(name): everything reachable over (caller, callee), the start included; a frontier step for each level, to the last."""
 
-    def cut(rows: DataFrame) -> DataFrame:
-        return rows.checkpoint() if rows.sparkSession.conf.get("spark.checkpoint.dir", None) else rows.localCheckpoint()
-
-    known = frontier = cut(start.select("name").distinct())
+    known = frontier = checkpointed(start.select("name").distinct())
     level = 0
     while not frontier.isEmpty():
         found = edges.join(frontier, edges.caller == F.col("name"), "left_semi").select(F.col("callee").alias("name")).distinct()
-        frontier = cut(found.join(known, "name", "left_anti"))
+        frontier = checkpointed(found.join(known, "name", "left_anti"))
         known, level = known.union(frontier), level + 1
         if level % 16 == 0:
-            known = cut(known.distinct())
+            known = checkpointed(known.distinct())
     return known

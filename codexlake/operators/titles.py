@@ -7,7 +7,7 @@ predicates on columns that reach the Parquet scan.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -27,6 +27,11 @@ def write_index(titles: DataFrame, path: str, partitions: int | None = None, sam
     dealt.sortWithinPartitions(*order).write.partitionBy("lang").mode("overwrite").parquet(path)
 
 
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    """What ``write_index`` wrote; predicates on ``lang`` and on a key skip folders and row groups."""
+    return spark.read.parquet(path)
+
+
 def find(titles: DataFrame, query: Column | str) -> DataFrame:
     """All titles equal to the query but for case."""
     q = F.lit(query) if isinstance(query, str) else query
@@ -102,9 +107,14 @@ def main_namespace(titles: DataFrame, title: str = "title") -> DataFrame:
     return titles.where(~F.contains(F.col(title), F.lit(":")))
 
 
+def drawing(seed: int, *columns) -> Column:
+    """A whole number below 2**32 that looks random; the seed and the columns' texts decide it, in any engine that has md5."""
+    return F.conv(F.left(F.md5(F.concat_ws("\x1f", F.lit(str(seed)), *columns)), F.lit(8)), 16, 10).cast("long")
+
+
 def random_title(titles: DataFrame, seed: int, title: str = "title") -> DataFrame:
     """One title without a namespace, drawn by the seed; the same rows and seed give the same title."""
-    return main_namespace(titles, title).orderBy(F.xxhash64(F.lit(seed), F.col(title)), title).limit(1)
+    return main_namespace(titles, title).orderBy(drawing(seed, F.col(title)), title).limit(1)
 
 
 def counts_by_language(titles: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import SparkSession
+
 from . import links, pages, strings, titles
 
 _MODULES = (titles, strings, links, pages)
@@ -12,4 +14,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for module in _MODULES for name, sql in module.SQL.items()}
+    """The SQL of each query; that over the whole table of Chinese letters only while there is a session."""
+    found = {name: sql for module in _MODULES for name, sql in module.SQL.items()}
+    return found | strings.session_sql() if SparkSession.getActiveSession() else found

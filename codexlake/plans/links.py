@@ -29,9 +29,11 @@ def _targets(spark, d):
 
 
 def _slugs(spark, d):
-    """Page slugs as a title index: the last part of every page's address."""
+    """A title index of all pages: the last part of each address, and the first word of each title."""
     slug = F.regexp_extract("url", r"([^/]*?)(?:\.[a-z]+)?$", 1)
-    return table(spark, d, "pages").select(slug.alias("title")).withColumn("key0", X.key0("title"))
+    word = F.regexp_extract("html", r"<title>([^<\s]+)", 1)
+    rows = table(spark, d, "pages").select(F.explode(F.array(slug, word)).alias("title")).where("title <> ''")
+    return rows.withColumn("key0", X.key0("title"))
 
 
 def link_validity(spark, d):
@@ -114,8 +116,9 @@ def image_fallback(spark, d):
 
 
 def _config(spark, d):
-    """Three lines for each nation: a comment, and two values for one key of which the second counts."""
-    line = F.explode(F.array(F.concat(F.lit("#c="), "n_name"), F.concat(F.lit("name="), "n_name", F.lit("=x")), F.concat(F.lit("k=1\r=a"), "n_name"), F.concat(F.lit("k=1=b"), "n_name")))
+    """Lines for each nation: a comment, two values for one key of which the second counts, and its region as a key."""
+    region = F.concat(F.lit("region"), F.col("n_regionkey").cast("string"), F.lit("=yes"))
+    line = F.explode(F.array(F.concat(F.lit("#c="), "n_name"), F.concat(F.lit("name="), "n_name", F.lit("=x")), F.concat(F.lit("k=1\r=a"), "n_name"), F.concat(F.lit("k=1=b"), "n_name"), region))
     rows = table(spark, d, "nation").select(F.col("n_nationkey").alias("lang"), line.alias("value"))
     return rows.withColumn("at", F.when(F.startswith("value", F.lit("k=1=b")), 2).otherwise(1))
 
@@ -125,9 +128,10 @@ def config_parse(spark, d):
 
 
 def config_default(spark, d):
-    config = parse_config(_config(spark, d), order="at", by=("lang",)).where("lang % 2 = 0")
+    """A key that the nations of one region have."""
+    config = parse_config(_config(spark, d), order="at", by=("lang",))
     rows = table(spark, d, "nation").select(F.col("n_nationkey").alias("lang"))
-    return J.setting(rows, config, "k=1", "none", "value")
+    return J.setting(rows, config, "region1", "none", "value")
 
 
 def ref_numbering(spark, d):
@@ -152,7 +156,9 @@ QUERIES = {f.__name__: f for f in (
 )}
 
 _TARGETS = f"""{LK}, tg AS (SELECT page_id, pos, regexp_extract(target, '([^/]*?)(?:\\.[a-z]+)?$', 1) AS target FROM lk),
-sl AS (SELECT DISTINCT {lower_sql("regexp_extract(url, '([^/]*?)(?:\\.[a-z]+)?$', 1)")} AS key0 FROM pages WHERE page_id % 2 = 0)"""
+sl AS (SELECT DISTINCT {lower_sql('title')} AS key0 FROM (
+    SELECT regexp_extract(url, '([^/]*?)(?:\\.[a-z]+)?$', 1) AS title FROM pages UNION ALL SELECT regexp_extract(html, '<title>([^<\\s]+)', 1) FROM pages)
+    WHERE title <> '')"""
 _FOUND = f"{lower_sql('target')} IN (SELECT key0 FROM sl)"
 
 SQL = {
@@ -193,8 +199,9 @@ b AS (SELECT p_partkey % 900 AS file_key, max(p_brand) AS data FROM part GROUP B
 c AS (SELECT c_custkey % 1100 AS file_key, max(c_name) AS data FROM customer GROUP BY 1)
 SELECT CAST(file_key AS BIGINT) AS file_key, coalesce(a.data, b.data, c.data) AS data FROM a FULL JOIN b USING (file_key) FULL JOIN c USING (file_key)""",
     "config_parse": """
-SELECT n_nationkey AS lang, 'name=' || n_name AS key, 'x' AS value FROM nation UNION ALL SELECT n_nationkey, 'k=1', 'b' || n_name FROM nation""",
-    "config_default": "SELECT n_nationkey AS lang, CASE WHEN n_nationkey % 2 = 0 THEN 'b' || n_name ELSE 'none' END AS value FROM nation",
+SELECT n_nationkey AS lang, 'name=' || n_name AS key, 'x' AS value FROM nation UNION ALL SELECT n_nationkey, 'k=1', 'b' || n_name FROM nation
+UNION ALL SELECT n_nationkey, 'region' || n_regionkey, 'yes' FROM nation""",
+    "config_default": "SELECT n_nationkey AS lang, CASE WHEN n_regionkey = 1 THEN 'yes' ELSE 'none' END AS value FROM nation",
     "ref_numbering": """
 SELECT l_orderkey, l_linenumber, l_partkey, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC, l_partkey) AS INTEGER) AS n FROM lineitem""",
     "template_closure": """

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..markup.context import Context
+from ..markup import pages as P
 from ..markup.pages import assemble, expand_column, render_column, result_list, template_text_column
+from ..operators import routes as R
+from ..operators.extract import template_arguments
 from ..operators.routes import respond
-from .base import PG, pg, table, upper_sql
+from .base import PG, key1_sql, pg, q, table, upper_sql
 
 L, C = F.lit, F.concat
 
@@ -45,6 +50,77 @@ MACROS = {
 }
 
 
+SINGLE = {
+    "ifexist_titles": _expand(lambda: C(L("{{#ifexist:"), "p_brand", L("|no|yes}}{{#ifexist: "), "p_type", L("|n|y}}")), titles=frozenset({"brand#1", "brand#2", "economy"})),
+    "ifexpr_compat": _expand(lambda: C(L("{{#ifexpr:"), F.expr("string(p_size)"), L(" > 5|big|"), "p_name", L("}}{{#ifexpr:1}}"))),
+    "expr_compat": _expand(lambda: C(L("{{#expr:"), F.expr("string(p_size)"), L("+1}}{{#expr:1|}}"), "p_name")),
+    "expr_intended": _expand(lambda: C(L("{{#expr:("), F.expr("string(p_size)"), L("+1)*2 mod 7}} {{#ifexpr:"), F.expr("string(p_size)"), L(" > 25 or 0|big|small}}")), compat=False),
+    "function_unknown": _expand(lambda: C(L("{{#time:"), "p_brand", L("|x}}{{#x}}"))),
+    "table_template": _expand(lambda: C("p_name", L("{{box|"), "p_brand", L("}}")), {"template:box": "{| {{{1}}}\n|}"}),
+    "template_prefix": _expand(lambda: C(L("{{Nope}}{{T:"), "p_brand", L("}}{{"), "p_type", L("}}")), {"vorlage:economy": "eco", "vorlage:small": "sm"}, template_namespace="Vorlage"),
+    "template_prefix_config": _expand(lambda: C(L("{{_a_b}}{{:"), "p_type", L("}}")), {"economy": "main {{{1|?}}}"}, config={"templatePrefix": "Modell:"}),
+    "namespace_names": _expand(lambda: C(L("{{ns:"), F.expr("string(p_size % 17)"), L("}}"))),
+    "local_urls": _expand(lambda: C(L("{{localurl:"), "p_brand", L("}} {{fullurl:"), "p_type", L("}} {{#language:"), "p_type", L("}}")), lang="de"),
+    "encode_macros": _expand(lambda: C(L("{{urlencode:"), "p_brand", L(" é}}{{anchorencode:x}}{{anchorencode:"), "p_type", L("}}"))),
+    "pad_macros": _expand(lambda: C(L("{{padleft:"), "p_brand", L("|9}}{{padright:"), "p_type", L("}}{{convert|"), F.expr("string(p_size)"), L("|km}}{{Dmoz|x}}"))),
+    "case_macros": _expand(lambda: C(L("{{lc:"), "p_type", L("}}{{ucfirst:"), "p_name", L("}}"))),
+    "talk_names": _expand(lambda: C("p_brand", *(L("{{" + x + "}}") for x in ("TALKSPACE", "SUBJECTSPACE", "ARTICLESPACE", "TALKPAGENAME", "SUBJECTPAGENAMEE", "ARTICLEPAGENAMEE")))),
+    "page_variables": _expand(lambda: C(L("{{PAGENAMEE}} {{SUBPAGENAME}} {{BASEPAGENAME}} {{NAMESPACE}} {{FULLPAGENAME}}"), "p_name"), page="A/B c/D", lang="fr"),
+    "revision_constants": _expand(lambda: C("p_brand", *(L(" {{REVISION" + x + "}}") for x in ("ID", "DAY", "DAY2", "MONTH", "YEAR", "TIMESTAMP")))),
+    "site_constants": _expand(lambda: C("p_brand", *(L(" {{" + x + "}}") for x in ("SITENAME", "SERVER", "SERVERNAME", "SCRIPTPATH", "/scripts", "CURRENTVERSION")))),
+    "statistics": _expand(lambda: C("p_brand", *(L(" {{" + x + "}}") for x in ("NUMBEROFARTICLES", "NUMBEROFEDITS", "NUMBEROFPAGES", "NUMBEROFFILES", "NUMBEROFUSERS", "NUMBEROFADMINS", "PAGESINNAMESPACE", "PAGESINNS:4"))), n_articles=12),
+    "empty_variables": _expand(lambda: C(L("{{DISPLAYTITLE:x}}{{DIRMARK}}{{DIRECTIONMARK}}{{DEFAULTSORT:"), "p_name", L("}}{{CONTENTLANGUAGE}}{{reflist}}")), lang="es"),
+    "ignored_templates": _expand(lambda: C("p_name", L("{{commons}}{{Commons|"), "p_brand", L("}}")), {"template:commons": "never"}),
+    "nested_brackets": _expand(lambda: C(L("{{two|[["), "p_brand", L("|x]]|{{two|"), "p_type", L("|[a|b]}}}}")), TEMPLATES),
+    "clock_names": _expand(lambda: C(L("{{CURRENTDAYNAME}} {{LOCALMONTHABBREV}} {{CURRENTMONTHNAMEGEN}} {{CURRENTTIMESTAMP}}"), "p_brand"), config={"Monday": "Montag", "January": "Januar"},
+                           now=datetime(2024, 1, 1, 2, 3, 4)),
+}
+
+
+def language_installed(spark, d):
+    """Codes that count as installed: with ``compat`` also what crosses a comma."""
+    code = F.element_at(F.array(*map(L, ("en", "n,", "zz", "de"))), (F.col("p_size") % 4 + 1).cast("int"))
+    rows = _parts(spark, d).select("p_partkey", C(L("GET /wiki/"), code, L("/"), X.url_encode("p_name"), L(" HTTP/1.1")).alias("line"))
+    titles = _parts(spark, d).select(L("en").alias("lang"), F.col("p_name").alias("title"), X.key0("p_name").alias("key0"))
+    got = respond(rows, titles, ["en", "de"], "en")
+    return got.select("p_partkey", "status", F.coalesce(F.col("location") == R.NOT_INSTALLED, L(False)).alias("refused"))
+
+
+def argument_positions(spark, d):
+    """The arguments of each call, numbered."""
+    body = C(L("{{two|"), "p_name", L("|[["), "p_brand", L("|x]]}} {{named|a="), "p_type", L("|b=2}}"))
+    return template_arguments(_parts(spark, d).select(F.col("p_partkey").alias("title"), body.alias("body")))
+
+
+def _library(spark, d):
+    """A page for each part that calls the template of its type; types call their brands, one of them over a redirect."""
+    part = _parts(spark, d)
+    page = part.select(L("en").alias("lang"), F.expr("string(p_partkey)").alias("title"),
+                       C(L("{{"), "p_type", L("|"), "p_brand", L("}}{{#ifexist:"), "p_brand", L("|no|yes}}{{Gone}}")).alias("body"))
+    types = part.select("p_type").distinct().select(L("en").alias("lang"), C(L("Template:"), F.initcap("p_type")).alias("title"),
+                                                    C(L("<noinclude>doc</noinclude>["), "p_type", L("{{inner|{{{1}}}}}]")).alias("body"))
+    other = spark.createDataFrame([("en", "Template:Inner", "#REDIRECT [[Template:Real_inner]]"), ("en", "Template:Real inner", "({{{1}}})"), ("en", "Brand#7", "b")],
+                                  "lang string, title string, body string")
+    return page, types.unionByName(other)
+
+
+def template_join(spark, d):
+    """Templates and titles looked up in tables, round by round."""
+    page, articles = _library(spark, d)
+    titles = articles.select("lang", X.key0("title").alias("key0"))
+    done = P.expand_pages(page, P.template_table(articles), titles, Context(expand=True))
+    return done.select(F.expr("int(title)").alias("p_partkey"), "expanded")
+
+
+def article_pages(spark, d):
+    """Every page of a language as an article: its title's first letters redirect to it, and it is put together."""
+    rows = pg(spark, d).where("lang <> ''").groupBy("lang", "key0").agg(F.min("title").alias("title"))
+    articles = rows.select("lang", "title", C(L("'''"), "lang", L("'''")).alias("body")).unionByName(
+        rows.select("lang", C(L("To "), "title").alias("title"), C(L("#REDIRECT [["), "title", L("]]")).alias("body")))
+    asked = articles.select("lang", "title")
+    return P.get_articles(asked, articles, Context(languages=("en", "fr", "de", "es")), pre="<%ArticleTitle%|%RedirectedFrom%>", post="!")
+
+
 def noinclude_strip(spark, d):
     body = C(L("a<noinclude>"), "p_name", L("</noinclude><b>"), "p_brand", L("</b><includeonly>"), "p_type", L("</includeonly>"))
     return _parts(spark, d).select("p_partkey", template_text_column(body).alias("text"))
@@ -66,18 +142,30 @@ RENDERS = {
     "render_nowiki": _render(lambda: C(L("<nowiki>''"), "p_brand", L("''</nowiki><source>"), L("a b</source><code>"), "p_name", L("</code>"))),
     "render_categories": _render(lambda: C("p_name", L("[[Category:"), "p_brand", L("]][[Category:"), "p_type", L("]]"))),
     "render_image": _render(lambda: C(L("[[Image:"), "p_brand", L(".png|thumb|left|200px|"), "p_name", L("]]")), images=True),
+    "render_glue": _render(lambda: C(L("  "), "p_name", L("\n "), "p_brand", L("\nend"))),
+    "render_bang": _render(lambda: C(L("{|\n|-\n| "), "p_name", L("!\n|}"))),
+    "render_tags": _render(lambda: C(L("<b class=x>"), "p_name", L("</b> 1 < 2 <br /> "), "p_brand")),
+    "render_imagemap": _render(lambda: C("p_name", L("<imagemap>x y</imagemap>"), "p_brand")),
+    "render_switches": _render(lambda: C(L("__NOTOC____NOEDITSECTION__"), "p_name", L(" __ "), "p_brand")),
     "render_toc": _render(lambda: C(*[x for i in "1234" for x in (L(f"== h{i} =="), L("\n"))], "p_name")),
 }
 
 
 def page_assemble(spark, d):
-    origin = F.when(F.col("page_id") % 2 == 0, F.col("lang")).otherwise("")
+    """The built-in frame; pages of one language count as redirected from it."""
+    origin = F.when(F.col("lang") == "fr", F.col("lang")).otherwise("")
     return pg(spark, d).select("page_id", assemble(F.col("title"), F.col("url"), origin).alias("page"))
 
 
+def page_assemble_own(spark, d):
+    """An installation's own frame; values that hold a placeholder stay as they are."""
+    title = C(F.col("title"), L("%RedirectedFrom%"))
+    return pg(spark, d).select("page_id", assemble(title, F.col("url"), F.col("lang"), "<%ArticleTitle%>%RedirectedFrom%|%ArticleTitle%", "end").alias("page"))
+
+
 def search_result_page(spark, d):
     rows = pg(spark, d).groupBy("lang", "key0").agg(F.sort_array(F.collect_set("title")).alias("titles"))
-    return rows.select("lang", "key0", result_list(F.col("titles"), F.col("lang")).alias("page"))
+    return rows.select("lang", "key0", result_list(F.col("titles")).alias("page"))
 
 
 def render_documents(spark, d):
@@ -106,8 +194,62 @@ def route_requests(spark, d):
     return rows.select("page_id", "route", "status", "location", "title")
 
 
-QUERIES = MACROS | RENDERS | {f.__name__: f for f in (
-    noinclude_strip, onlyinclude_strip, page_assemble, search_result_page, render_documents, route_requests,
+def _pictures(spark, d):
+    """Images of the parts' brands: odd sizes in the language's own archive, some in the shared one, drawings under their rendered name."""
+    rows = _parts(spark, d).select(F.when(F.col("p_size") < 20, "en").when(F.col("p_size") < 30, "xc").otherwise("de").alias("lang"),
+                                   X.svg_key(C(F.col("p_brand"), L("_"), F.expr("string(p_size)"), L(".svg"))).alias("file_key")).distinct()
+    return rows.withColumn("data", F.encode("file_key", "UTF-8"))
+
+
+def serve_images(spark, d):
+    """Image requests of one language: found in its own archive, in the shared one, or not at all."""
+    line = C(L("GET /wiki/en/Image:"), X.url_encode("p_brand"), L("%20"), F.expr("string(p_size)"), L(".SVG HTTP/1.1"))
+    rows = _parts(spark, d).select("p_partkey", line.alias("line"))
+    titles = pg(spark, d)
+    got = R.serve(rows, titles, ["en", "de"], "en", images=_pictures(spark, d))
+    return got.select("p_partkey", "status", "image_lang", "mime", F.decode("data", "UTF-8").alias("data"), F.length("body").alias("n_body"))
+
+
+def serve_search(spark, d):
+    """Searches for the beginnings of titles, in the language of the page or, for one language, without a code."""
+    code = F.when(F.col("lang") == "en", "").otherwise(C(F.col("lang"), L(":")))
+    rows = pg(spark, d).where("lang <> ''").select("page_id", C(L("GET /ajax/search:"), code, X.url_encode(F.expr("left(title, 2)")), L(" HTTP/1.1")).alias("line"))
+    got = R.serve(rows, pg(spark, d), ["en", "de", "es"], "en")
+    return got.select("page_id", "status", "reason", F.when(F.col("status") == 200, F.col("body")).alias("body"))
+
+
+def serve_random(spark, d):
+    """Random titles by language: where each request is sent."""
+    rows = pg(spark, d).where("lang <> ''").select("page_id", C(L("GET /ajax/RedirectToRandomArticle"), "lang", L(" HTTP/1.1")).alias("line"))
+    got = respond(rows, pg(spark, d), ["en", "de", "es"], "en", seed=7)
+    return got.select("page_id", "status", "location")
+
+
+def _tree(spark):
+    rows = [("/a.css", False), ("/help", True), ("/help/index.html", False), ("/deep", True), ("/deep/x.mp4", False), ("/Images/i.gif", False)]
+    return spark.createDataFrame(rows, "path string, is_dir boolean")
+
+
+def serve_files(spark, d):
+    """Files, folders with and without an index page, and what is not there."""
+    path = F.element_at(F.array(*map(L, ("/a.css", "/help", "/help/", "/deep", "/deep/", "/deep/x.mp4", "/none", "/wiki/en/Image:i.gif"))), (F.col("p_size") % 8 + 1).cast("int"))
+    rows = _parts(spark, d).select("p_partkey", C(L("GET "), path, L(" HTTP/1.1")).alias("line"))
+    got = R.serve(rows, pg(spark, d), ["en"], "en", files=_tree(spark))
+    return got.select("p_partkey", "status", "location", "file", "mime", "body")
+
+
+def serve_errors(spark, d):
+    """Each kind of refusal, and the list of languages."""
+    lines = ("PUT / HTTP/1.1", "GET /wiki/xx/Article%20not%20found HTTP/1.1", "GET /ajax/x HTTP/1.1", "GET /ajax/search: HTTP/1.1", "GET /ajax/search:zz:a HTTP/1.1",
+             "GET /wiki/en/ HTTP/1.1", "GET /wiki/de/ HTTP/1.1", "GET /ajax/GetInstalledLanguages HTTP/1.1", "GET /wiki/en/testpage.txt HTTP/1.1")
+    line = F.element_at(F.array(*map(L, lines)), (F.col("p_size") % 9 + 1).cast("int"))
+    got = R.serve(_parts(spark, d).select("p_partkey", line.alias("line")), pg(spark, d), ["de", "en", "xx"], "en", names={"en": "English"}, main_pages={"en": "Main"})
+    return got.select("p_partkey", "status", "reason", "location", "body")
+
+
+QUERIES = MACROS | SINGLE | RENDERS | {f.__name__: f for f in (
+    noinclude_strip, onlyinclude_strip, page_assemble, page_assemble_own, search_result_page, render_documents, route_requests, language_installed,
+    argument_positions, template_join, article_pages, serve_images, serve_search, serve_random, serve_files, serve_errors,
 )}
 
 _END = "chr(13) || chr(10)"
@@ -138,6 +280,19 @@ def _lit(text: str) -> str:
     return "'" + text.replace("'", "''").replace("\r", "' || chr(13) || '").replace("\n", "' || chr(10) || '") + "'"
 
 
+def _error(status: int, reason: str, text: str) -> str:
+    page = f"<HTML><HEAD><TITLE>{status} {reason}</TITLE></HEAD>\r\n<BODY><H4>{status} {reason}</H4>\r\n{text}\r\n</BODY></HTML>\r\n"
+    return "(" + _lit(page) + ")"
+
+
+def _escape_sql(x: str) -> str:
+    """Blank, < > " # % and all bytes above 7F, percent-encoded."""
+    for plain, escaped in X.URL_ESCAPES:
+        x = f"replace({x}, {q(plain)}, {q(escaped)})"
+    each = "regexp_replace(hex(encode(c)), '(..)', '%\\1', 'g')"
+    return f"array_to_string(list_transform(string_split({x}, ''), lambda c: CASE WHEN c > chr(127) THEN {each} ELSE c END), '')"
+
+
 SQL = {
     "param_bind": _E("'<' || p_brand || '|' || p_type || '>'"),
     "param_subst": _E("p_name || '+none'"),
@@ -188,12 +343,107 @@ SQL = {
     ),
     "render_toc": _H(_lit(_TOC_HEAD + _TOC + "</td></tr></table></p>" + _HEADS) + f" || p_name || {_END}"),
     "page_assemble": f"""
-WITH {PG} SELECT page_id, '<html><head><title>' || title || '</title></head><body><h1>' || title || '</h1>' ||
-    CASE WHEN page_id % 2 = 0 AND lang <> '' THEN '<p>(redirected from ' || lang || ')</p>' ELSE '' END || url || '</body></html>' AS page FROM pg""",
+WITH {PG}, f AS (SELECT *, CASE WHEN lang = 'fr' THEN '<span class="wkRedirected">(Redirected from fr)</span>' || {_END} ELSE '' END AS note FROM pg)
+SELECT page_id, replace(replace({_lit(P.HEAD)}, '%ArticleTitle%', title), '%RedirectedFrom%', note) || url || {_lit(P.FOOT)} AS page FROM f""",
+    "page_assemble_own": f"""
+WITH {PG} SELECT page_id, '<' || t || '>' || CASE WHEN lang = '' THEN '' ELSE '<span class="wkRedirected">(Redirected from ' || lang || ')</span>' || {_END} END
+    || '|' || t || url || 'end' AS page FROM (SELECT *, title || '%RedirectedFrom%' AS t FROM pg)""",
     "search_result_page": f"""
 WITH {PG}, t AS (SELECT DISTINCT lang, key0, title FROM pg)
-SELECT lang, key0, '<ul>' || string_agg('<li><a href="/wiki/' || lang || '/' || title || '">' || title || '</a></li>', '' ORDER BY title) || '</ul>' AS page
+SELECT lang, key0, {_lit(P.RESULTS_HEAD)} || string_agg(replace({_lit(P.RESULT)}, '%Title%', title), '' ORDER BY title) || {_lit(P.RESULTS_FOOT)} AS page
 FROM t GROUP BY lang, key0""",
+    "ifexist_titles": _E("CASE WHEN p_brand IN ('Brand#1', 'Brand#2') THEN 'yes' ELSE 'no' END || CASE WHEN p_type = 'ECONOMY' THEN 'n' ELSE 'n' END"),
+    "ifexpr_compat": _E("p_name"),
+    "expr_compat": _E("'0' || p_name"),
+    "expr_intended": _E("CAST((p_size + 1) * 2 % 7 AS VARCHAR) || ' ' || CASE WHEN p_size > 25 THEN 'big' ELSE 'small' END"),
+    "function_unknown": _E("'USP:#time:' || p_brand || 'USP:#x'"),
+    "table_template": _E("p_name || chr(10) || '{| ' || p_brand || chr(10) || '|}'"),
+    "template_prefix": _E(
+        "'<span class=\"wkUnknownTemplate\">Vorlage:Nope</span><span class=\"wkUnknownTemplate\">Vorlage:T:' || p_brand || '</span>' || "
+        "CASE p_type WHEN 'ECONOMY' THEN 'eco' WHEN 'SMALL' THEN 'sm' ELSE '<span class=\"wkUnknownTemplate\">Vorlage:' || p_type || '</span>' END"
+    ),
+    "template_prefix_config": _E(
+        "'<span class=\"wkUnknownTemplate\">Modell:_a_b</span>' || CASE p_type WHEN 'ECONOMY' THEN 'main ?' ELSE '<span class=\"wkUnknownTemplate\">Modell::' || p_type || '</span>' END"
+    ),
+    "namespace_names": _E(
+        "coalesce((ARRAY['Talk', 'User', 'User_talk', 'Wikipedia', 'Wikipedia_talk', 'Image', 'Image_talk', 'MediaWiki', 'MediaWiki_talk', 'Template', 'Template_talk', "
+        "'Help', 'Help_talk', 'Category', 'Category_talk'])[nullif(p_size % 17, 0)], '<span class=\"wkUnknownTemplate\">Template:ns:' || p_size % 17 || '</span>')"
+    ),
+    "local_urls": _E("'de/' || p_brand || ' http://127.0.0.1/wiki/de/' || p_type || ' ' || p_type"),
+    "encode_macros": _E("replace(p_brand, '#', '%23') || ' %E9<span class=\"wkUnknownTemplate\">Template:anchorencode:x</span>' || p_type"),
+    "pad_macros": _E("p_brand || '|9' || p_type || p_size || '|km'"),
+    "case_macros": _E("lower(p_type) || upper(left(p_name, 1)) || substr(p_name, 2)"),
+    "talk_names": _E("p_brand"),
+    "page_variables": _E("'A/B c/D D A fr fr/A/B c/D' || p_name"),
+    "revision_constants": _E("p_brand || ' 0 1 01 01 2007 20070101000000'"),
+    "site_constants": _E("p_brand || ' Offline-Wikipedia http://127.0.0.1 127.0.0.1   0.60'"),
+    "statistics": _E("p_brand || ' 12 1 1 1 1 1 1 1'"),
+    "empty_variables": _E("'es<references />'"),
+    "ignored_templates": _E("p_name"),
+    "nested_brackets": _E("'[[' || p_brand || '|x]]+' || p_type || '+[a|b]'"),
+    "clock_names": _E("'Montag Jan Januar 20240001020304' || p_brand"),
+    "render_glue": _H(f"p_name || p_brand || 'end' || {_END}"),
+    "render_bang": _H(f"'<table>' || chr(10) || '<tr>' || chr(10) || '<td> ' || p_name || '|</td>' || chr(10) || '</tr>' || chr(10) || '</table>' || chr(10) || {_END}"),
+    "render_tags": _H(f"'<b class=x>' || p_name || '</b> 1 < 2 <br /> ' || p_brand || {_END}"),
+    "render_imagemap": _H(f"p_name || p_brand || {_END}"),
+    "render_switches": _H(f"p_name || ' _ ' || p_brand || {_END}"),
+    "language_installed": """
+SELECT p_partkey, CAST(CASE WHEN p_size % 4 = 0 THEN 200 ELSE 301 END AS INTEGER) AS status, p_size % 4 = 2 AS refused FROM part""",
+    "argument_positions": """
+SELECT p_partkey AS title, unnest([1, 1, 2, 2])::INTEGER AS call, unnest(['two', 'two', 'named', 'named']) AS template,
+       unnest([1, 2, 1, 2])::INTEGER AS position, unnest(['', '', 'a', 'b']) AS name, unnest([p_name, '[[' || p_brand || '|x]]', p_type, '2']) AS value FROM part""",
+    "template_join": """
+SELECT CAST(p_partkey AS INTEGER) AS p_partkey, '[' || p_type || '(' || p_brand || ')]' || CASE WHEN p_brand = 'Brand#7' THEN 'yes' ELSE 'no' END
+       || '<span class="wkUnknownTemplate">Template:Gone</span>' AS expanded FROM part""",
+    "article_pages": f"""
+WITH {PG}, r AS (SELECT lang, key0, min(title) AS title FROM pg WHERE lang <> '' GROUP BY ALL)
+SELECT lang, title, title AS article_name, '<' || title || '|><b>' || lang || '</b>' || {_END} || '!' AS page FROM r UNION ALL
+SELECT lang, 'To ' || title, title, '<' || title || '|<span class="wkRedirected">(Redirected from To ' || title || ')</span>' || {_END} || '><b>' || lang || '</b>' || {_END} || '!' FROM r""",
+    "serve_images": f"""
+WITH i AS (SELECT DISTINCT CASE WHEN p_size < 20 THEN 'en' WHEN p_size < 30 THEN 'xc' END AS lang, lower(p_brand) || '_' || p_size || '.svg.png' AS k FROM part WHERE p_size < 30),
+x AS (SELECT p_partkey, lower(p_brand) || '_' || p_size || '.svg.png' AS k FROM part),
+y AS (SELECT x.*, CASE WHEN EXISTS (SELECT 1 FROM i WHERE i.k = x.k AND i.lang = 'en') THEN 'en' WHEN EXISTS (SELECT 1 FROM i WHERE i.k = x.k AND i.lang = 'xc') THEN 'xc' END AS image_lang FROM x)
+SELECT p_partkey, CAST(CASE WHEN image_lang IS NULL THEN 404 ELSE 200 END AS INTEGER) AS status, image_lang, CASE WHEN image_lang IS NULL THEN 'text/html' ELSE 'image/png' END AS mime,
+       CASE WHEN image_lang IS NOT NULL THEN k END AS data, CAST(CASE WHEN image_lang IS NULL THEN length({_error(404, 'Not Found', 'File not found.')}) END AS INTEGER) AS n_body FROM y""",
+    "serve_search": f"""
+WITH {PG}, c AS (SELECT page_id, lang, {key1_sql('left(title, 2)')} AS p, left(title, 2) AS raw FROM pg WHERE lang <> ''),
+x AS (SELECT *, key1 = max(key1) OVER (PARTITION BY lang) AND title = max(title) FILTER (WHERE TRUE) OVER (PARTITION BY lang, key1) AS final FROM pg),
+a AS (SELECT DISTINCT lang, p, raw FROM c WHERE raw <> ''),
+h AS (SELECT a.lang, a.raw, x.title, x.final, row_number() OVER (PARTITION BY a.lang, a.raw ORDER BY x.key1, x.title) AS r FROM a JOIN x ON x.lang = a.lang AND starts_with(x.key1, a.p)),
+o AS (SELECT *, sum(CASE WHEN final THEN 0 ELSE 1 END) OVER (PARTITION BY lang, raw ORDER BY r) AS s FROM h WHERE r <= 27),
+g AS (SELECT lang, raw, coalesce(string_agg(title, chr(10) ORDER BY r) FILTER (WHERE NOT final AND s <= 25), '') || CASE WHEN count(*) > 26 THEN chr(10) ELSE '' END AS body FROM o GROUP BY ALL)
+SELECT c.page_id, CAST(CASE WHEN c.raw = '' OR c.lang = 'fr' THEN 404 ELSE 200 END AS INTEGER) AS status,
+       CASE WHEN c.raw = '' THEN 'Nothing to search for or search string to short.' WHEN c.lang = 'fr' THEN 'No language code not installed' ELSE 'OK' END AS reason,
+       CASE WHEN c.raw <> '' AND c.lang <> 'fr' THEN coalesce(g.body, '') END AS body
+FROM c LEFT JOIN g ON g.lang = c.lang AND g.raw = c.raw""",
+    "serve_random": f"""
+WITH {PG}, n AS (SELECT lang, title, CAST('0x' || left(md5('7' || chr(31) || title), 8) AS BIGINT) AS h FROM pg WHERE NOT contains(title, ':')),
+f AS (SELECT lang, h % 1024 AS slot, arg_min(title, struct_pack(h := h, t := title)) AS title FROM n GROUP BY ALL),
+p AS (SELECT lang, list_sort(list_distinct(list(title))) AS drawn FROM f GROUP BY lang),
+r AS (SELECT page_id, lang, CAST('0x' || left(md5('7' || chr(31) || page_id || chr(31) || 'GET /ajax/RedirectToRandomArticle' || lang || ' HTTP/1.1'), 8) AS BIGINT) AS h FROM pg WHERE lang <> ''),
+t AS (SELECT r.page_id, r.lang, drawn[r.h % len(drawn) + 1] AS title FROM r LEFT JOIN p USING (lang)),
+e AS (SELECT *, {_escape_sql('title')} AS escaped FROM t)
+SELECT page_id, CAST(301 AS INTEGER) AS status, CASE WHEN lang NOT IN ('en', 'de', 'es') THEN '/wiki/xx/Language not installed'
+       WHEN title IS NULL THEN '/wiki/xx/Article not found' ELSE '/wiki/' || lang || ':' || escaped END AS location FROM e""",
+    "serve_files": f"""
+WITH k AS (SELECT p_partkey, p_size % 8 AS k FROM part)
+SELECT p_partkey, CAST((ARRAY[200, 301, 200, 302, 403, 200, 404, 200])[k + 1] AS INTEGER) AS status, CASE k WHEN 1 THEN '/help/index.html' WHEN 3 THEN '/deep/' END AS location,
+       CASE k WHEN 0 THEN '/a.css' WHEN 2 THEN '/help/index.html' WHEN 5 THEN '/deep/x.mp4' WHEN 7 THEN '/Images/i.gif' END AS file,
+       CASE k WHEN 0 THEN 'text/css' WHEN 5 THEN 'video/mp4' WHEN 7 THEN 'image/gif' ELSE 'text/html' END AS mime,
+       CASE k WHEN 1 THEN '<Please follow <a href="/help/index.html">/help/index.html</a>' || {_END} WHEN 3 THEN {_error(302, 'Found', 'Directories must end with a slash.')}
+         WHEN 4 THEN {_error(403, 'Directory Listing Denied', 'This virtual directory does not allow contents to be listed.')}
+         WHEN 6 THEN {_error(404, 'Not Found', 'File not found.')} END AS body FROM k""",
+    "serve_errors": f"""
+WITH k AS (SELECT p_partkey, p_size % 9 AS k FROM part)
+SELECT p_partkey, CAST((ARRAY[501, 404, 404, 404, 404, 301, 301, 200, 403])[k + 1] AS INTEGER) AS status,
+       (ARRAY['Not supported', 'Not Found', 'Command not found', 'Nothing to search for or search string to short.', 'No language code not installed',
+              'moved permanently', 'moved permanently', 'OK', 'Forbidden'])[k + 1] AS reason,
+       CASE k WHEN 5 THEN '/wiki/en/Main' WHEN 6 THEN '/wiki/xx/Article not found' END AS location,
+       CASE k WHEN 0 THEN {_error(501, 'Not supported', 'Method is not supported.')} WHEN 1 THEN {_error(404, 'Not Found', 'Article not found.')}
+         WHEN 2 THEN {_error(404, 'Command not found', 'File not found.')} WHEN 3 THEN {_error(404, 'Nothing to search for or search string to short.', '')}
+         WHEN 4 THEN {_error(404, 'No language code not installed', '')} WHEN 5 THEN '<Please follow <a href="/wiki/en/Main">/wiki/en/Main</a>' || {_END}
+         WHEN 6 THEN '<Please follow <a href="/wiki/xx/Article not found">/wiki/xx/Article not found</a>' || {_END} WHEN 7 THEN 'en:English' || chr(10) || 'de:de'
+         WHEN 8 THEN {_error(403, 'Forbidden', 'Access denied.')} END AS body FROM k""",
     "route_requests": f"""
 WITH {PG}, p AS (SELECT *, page_id % 8 AS k FROM pg WHERE lang <> ''),
 sp AS (SELECT lang, key0, min(title) AS first, count(DISTINCT title) AS n FROM pg GROUP BY ALL),

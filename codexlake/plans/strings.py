@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import dates, text as X
+from ..functions.chinese import simplified_table
+from ..operators.routes import split_listing
 from .base import PG, fold_sql, key1_sql, lower_sql, pg, q, table, upper_sql
 
 
@@ -21,6 +23,51 @@ def fold_zh(spark, d):
     return table(spark, d, "nation").select("n_nationkey", X.fold_zh(word).alias("folded"))
 
 
+def fold_zh_letters(spark, d):
+    """Every letter that folds, among the nations' names."""
+    word = F.concat(F.col("n_name"), F.lit(simplified_table()[0]), F.col("n_name"))
+    return table(spark, d, "nation").select("n_nationkey", X.fold_zh(word).alias("folded"))
+
+
+def search_key_zh(spark, d):
+    """Search keys in which the pages of one language count as Chinese."""
+    lang = F.when(F.col("lang") == "es", "zh").otherwise(F.col("lang"))
+    return pg(spark, d).select("page_id", X.key1(F.concat(F.col("title"), F.lit("亂國學é")), lang).alias("key1"))
+
+
+def starts_with(spark, d):
+    return table(spark, d, "part").select("p_partkey", X.starts_with("p_type", "Eco").alias("exact"), X.starts_with_case("p_type", "eco").alias("folded"))
+
+
+def split_parts(spark, d):
+    line = F.concat(F.col("p_name"), F.lit("||"), F.col("p_brand"), F.lit("|"))
+    return table(spark, d, "part").select("p_partkey", F.posexplode(X.split_keep(line, "|")).alias("at", "part"))
+
+
+def underscores(spark, d):
+    return pg(spark, d).select("page_id", X.blanks_to_underscores("title").alias("file"), X.underscores_to_blanks(X.blanks_to_underscores("title")).alias("name"))
+
+
+def utf8_decode(spark, d):
+    """Titles as bytes with a stray byte in front and a character cut off at the end."""
+    raw = F.concat(F.unhex(F.lit("80")), F.encode("title", "UTF-8"), F.unhex(F.lit("C3")))
+    return pg(spark, d).select("page_id", X.utf8_decode(raw).alias("decoded"), X.utf8_decode(F.encode("title", "UTF-8")).alias("whole"))
+
+
+def latin1_codec(spark, d):
+    word = F.concat(F.col("p_name"), F.lit("éÿ"))
+    return table(spark, d, "part").select(
+        "p_partkey", X.latin1_decode(F.encode(word, "ISO-8859-1")).alias("decoded"),
+        X.latin1_decode(X.latin1_encode(F.concat(word, F.lit("日🙂ā")))).alias("encoded"),
+    )
+
+
+def language_split(spark, d):
+    listing = F.concat(F.lit("en:"), F.col("p_name"), F.lit("\nde:a:"), F.col("p_brand"))
+    return table(spark, d, "part").select("p_partkey", F.posexplode(split_listing(listing)).alias("at", "entry")).select(
+        "p_partkey", "at", F.col("entry.code").alias("code"), F.col("entry.name").alias("name"))
+
+
 def url_encode_titles(spark, d):
     title = F.concat(F.col("title"), F.lit(' <é"#%>'))
     return pg(spark, d).select("page_id", X.url_encode(title).alias("encoded"))
@@ -52,8 +99,9 @@ def leading_int(spark, d):
 
 
 def _file(column="p_name"):
-    ending = F.element_at(F.array(*map(F.lit, (".SVG", ".png", ".Jpg", ".html", ".bin", ""))), (F.col("p_size") % 6 + 1).cast("int"))
-    return F.concat(F.col(column), ending)
+    ending = F.element_at(F.array(*map(F.lit, (".SVG", ".png", ".Jpg", ".mp4", ".bin", ""))), (F.col("p_size") % 6 + 1).cast("int"))
+    name = F.when(F.col("p_partkey") % 7 == 0, F.lit("abc")).when(F.col("p_partkey") % 7 == 1, F.lit("a.svg.b")).otherwise(F.col(column))
+    return F.concat(name, ending)
 
 
 def svg_key(spark, d):
@@ -111,10 +159,11 @@ QUERIES = {
     "fold_lower": _docs(X.to_lower), "fold_upper": _docs(X.to_upper), "fold_diacritic": _docs(X.fold_diacritics),
 } | {f.__name__: f for f in (
     search_key, fold_zh, url_encode_titles, url_decode_links, anchor_names, strip_comments, trim_ctrl, leading_int, svg_key, cache_key,
-    mime_type, pixel_size, formatnum, magic_dates, page_names, newline_normalize, external_scheme,
+    mime_type, pixel_size, formatnum, magic_dates, page_names, newline_normalize, external_scheme, fold_zh_letters, search_key_zh,
+    starts_with, split_parts, underscores, utf8_decode, latin1_codec, language_split,
 )}
 
-_FILE = "p_name || (ARRAY['.SVG', '.png', '.Jpg', '.html', '.bin', ''])[p_size % 6 + 1]"
+_FILE = """CASE p_partkey % 7 WHEN 0 THEN 'abc' WHEN 1 THEN 'a.svg.b' ELSE p_name END || (ARRAY['.SVG', '.png', '.Jpg', '.mp4', '.bin', ''])[p_size % 6 + 1]"""
 
 
 def _escaped(x: str, skip_blank: bool = False) -> str:
@@ -152,7 +201,7 @@ SELECT doc_id, regexp_replace(t, '^[\x00-\x20]+|[\x00-\x20]+$', '', 'g') AS trim
 SELECT p_partkey, coalesce(TRY_CAST(regexp_extract(CASE WHEN p_size % 2 = 0 THEN CAST(p_size AS VARCHAR) || p_name ELSE p_name END, '^[0-9]+') AS INTEGER), 0) AS value
 FROM part""",
     "svg_key": f"""
-SELECT p_partkey, CASE WHEN ends_with(k, '.svg') THEN k || '.png' ELSE k END AS file_key FROM (SELECT p_partkey, {lower_sql('(' + _FILE + ')')} AS k FROM part)""",
+SELECT p_partkey, CASE WHEN (ends_with(k, '.svg') AND strpos(k, '.svg') = length(k) - 3) OR octet_length(encode(k)) = 3 THEN k || '.png' ELSE k END AS file_key FROM (SELECT p_partkey, {lower_sql('(' + _FILE + ')')} AS k FROM part)""",
     "cache_key": f"""
 WITH {PG} SELECT page_id, replace(replace(replace({lower_sql(_each(_escaped("(title || '/A:b' || chr(92) || 'c')"), _UTF8))}, '/', '%2f'), chr(92), '%5c'), ':', '%3a') AS cache_key FROM pg""",
     "mime_type": f"SELECT p_partkey, CASE lower(regexp_extract({_FILE}, '\\.([A-Za-z0-9]+)$', 1)) {_MIME} END AS mime FROM part",
@@ -173,7 +222,24 @@ SELECT event_id, CAST(day(ts) AS VARCHAR) AS day, strftime(ts, '%d') AS day2, st
 WITH n AS (SELECT page_id, regexp_extract(url, '^https?://[^/]+/(.*)$', 1) AS name FROM pages)
 SELECT page_id, name AS pagename, CASE WHEN contains(name, '/') THEN regexp_extract(name, '([^/]*)$', 1) ELSE '' END AS subpagename,
        CASE WHEN contains(name, '/') THEN split_part(name, '/', 1) ELSE '' END AS basepagename, 'en/' || name AS fullpagename FROM n""",
+    "starts_with": "SELECT p_partkey, starts_with(p_type, 'Eco') AS exact, starts_with(lower(p_type), 'eco') AS folded FROM part",
+    "split_parts": "SELECT p_partkey, unnest([0, 1, 2, 3])::INTEGER AS at, unnest([p_name, '', p_brand, '']) AS part FROM part",
+    "underscores": f"WITH {PG} SELECT page_id, replace(title, ' ', '_') AS file, replace(replace(title, ' ', '_'), '_', ' ') AS name FROM pg",
+    "utf8_decode": f"WITH {PG} SELECT page_id, '?' || title AS decoded, title AS whole FROM pg",
+    "latin1_codec": "SELECT p_partkey, p_name || 'éÿ' AS decoded, p_name || 'éÿ#####' || chr(1) AS encoded FROM part",
+    "language_split": """
+SELECT p_partkey, unnest([0, 1])::INTEGER AS at, unnest(['en', 'de']) AS code, unnest([p_name, 'a:' || p_brand]) AS name FROM part""",
     "newline_normalize": "SELECT doc_id, replace(text, chr(13), chr(10)) AS normalized FROM documents",
     "external_scheme": f"""
 WITH {LK} SELECT page_id, pos, regexp_matches(target, '^(?i)(https?://|gopher://|mailto:|news://|ftp://|irc://)') AS external FROM lk""",
 }
+
+
+def session_sql() -> dict[str, str]:
+    """SQL that holds the whole table of Chinese letters, which only a session can give."""
+    old, new = map(q, simplified_table())
+    low = lower_sql("title || '亂國學é'")
+    return {
+        "fold_zh_letters": f"SELECT n_nationkey, translate(n_name || {old} || n_name, {old}, {new}) AS folded FROM nation",
+        "search_key_zh": f"WITH {PG} SELECT page_id, CASE WHEN lang = 'es' THEN translate({low}, {old}, {new}) ELSE {fold_sql(low)} END AS key1 FROM pg",
+    }

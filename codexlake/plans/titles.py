@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from ..checkpoints import shared_folder
 from ..functions import text as X
 from ..operators import titles as O
 from .base import PG, TT, key1_sql, lower_sql, pg, table, tt
@@ -67,6 +70,14 @@ def article_count_by_lang(spark, d):
     return O.counts_by_language(pg(spark, d))
 
 
+def title_index(spark, d):
+    """An index written by language and key range, read back with a range of keys."""
+    path = f"{shared_folder(spark)}/titles-{uuid.uuid4().hex}"
+    O.write_index(pg(spark, d).select("lang", "title", "key0", "key1").where("lang <> ''"), path, 4)
+    found = O.read_index(spark, path).where((F.col("lang") == "en") & (F.col("key1") >= "d") & (F.col("key1") < "q"))
+    return found.select("lang", "title", "key1")
+
+
 def image_count(spark, d):
     return table(spark, d, "pages").select(F.size(F.regexp_extract_all("html", F.lit("<img [^>]*>"), F.lit(0))).alias("n")).agg(
         F.sum(F.col("n").cast("long")).alias("n_images"), F.count("*").alias("n_pages")
@@ -82,7 +93,7 @@ def lang_list(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     suggest_prefix_topk, suggest_compat_drop_last, suggest_concat, suggest_batch, title_lookup_ci, title_lookup_single,
-    title_lookup_multi_compat, titles_no_namespace, random_title, article_count_by_lang, image_count, lang_list,
+    title_lookup_multi_compat, titles_no_namespace, random_title, article_count_by_lang, image_count, lang_list, title_index,
 )}
 
 _HITS = f"""{TT}, ix AS (SELECT title, key0, min(id) AS id FROM tt GROUP BY ALL), asked AS (
@@ -121,6 +132,8 @@ WHERE CASE WHEN e THEN title = query ELSE r = 1 OR r = n END""",
     "titles_no_namespace": """
 SELECT title, count(*) AS n FROM (SELECT p_brand || CASE WHEN p_size > 25 THEN ':' ELSE ' ' END || p_name AS title FROM part)
 WHERE NOT contains(title, ':') GROUP BY title""",
+    "random_title": f"WITH {PG} SELECT title FROM pg WHERE NOT contains(title, ':') ORDER BY left(md5('42' || chr(31) || title), 8), title LIMIT 1",
+    "title_index": f"WITH {PG} SELECT lang, title, key1 FROM pg WHERE lang = 'en' AND key1 >= 'd' AND key1 < 'q'",
     "article_count_by_lang": f"WITH {PG} SELECT lang, count(*) AS n_articles FROM pg GROUP BY lang",
     "image_count": "SELECT CAST(sum(len(regexp_extract_all(html, '<img [^>]*>'))) AS BIGINT) AS n_images, count(*) AS n_pages FROM pages",
     "lang_list": f"""

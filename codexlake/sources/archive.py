@@ -30,25 +30,39 @@ def _open(path: str):
     return system.open_input_file(inner)
 
 
-def locate(folder: str, lang: str, name: str = "articles") -> str:
-    """The archive of a language: ``name.bin`` or ``name_xx.bin``; FileNotFoundError if there is neither."""
+def locate(folder: str, lang: str, name: str = "articles") -> str | None:
+    """The archive of a language: ``name.bin`` or ``name_xx.bin``; None if there is neither."""
     for candidate in (f"{folder}/{name}.bin", f"{folder}/{name}_{lang}.bin"):
         try:
             with _open(candidate):
                 return candidate
-        except FileNotFoundError:
+        except (FileNotFoundError, IsADirectoryError):
             continue
-    raise FileNotFoundError(f"{folder}/{name}.bin")
+    return None
 
 
 def _text(raw: bytes) -> str:
     return raw.split(b"\0", 1)[0].decode("utf-8", "replace")
 
 
-def article_meta(path: str) -> dict:
-    """Header of an article archive; the second index and the namespaces only count in version 1."""
-    with _open(path) as f:
-        lang, n, titles, first, second, version, _, images, templates, _ = ARTICLE_HEADER.unpack(f.read(ARTICLE_HEADER.size))
+def _head(path: str | None, layout: struct.Struct):
+    """The unpacked header, or None if the file is missing or too short to be an archive."""
+    if path is None:
+        return None
+    try:
+        with _open(path) as f:
+            raw = f.read(layout.size)
+    except FileNotFoundError:
+        return None
+    return layout.unpack(raw) if len(raw) == layout.size else None
+
+
+def article_meta(path: str | None) -> dict:
+    """Header of an article archive; the second index and the namespaces only count in version 1; -1 articles without one."""
+    head = _head(path, ARTICLE_HEADER)
+    if head is None:
+        return {"lang": "", "n_articles": -1, "titles_pos": 0, "index_pos": (0, 0), "version": 0, "image_ns": "", "template_ns": ""}
+    lang, n, titles, first, second, version, _, images, templates, _ = head
     extra = version == 1
     return {
         "lang": _text(lang), "n_articles": n, "titles_pos": titles, "index_pos": (first, second if extra else 0), "version": version,
@@ -56,6 +70,15 @@ def article_meta(path: str) -> dict:
     }
 
 
+def image_meta(path: str | None) -> dict:
+    """Header of an image archive; -1 images without one."""
+    head = _head(path, IMAGE_HEADER)
+    if head is None:
+        return {"lang": "", "n_images": -1, "titles_pos": 0, "index_pos": 0}
+    lang, n, titles, index, _ = head
+    return {"lang": _text(lang), "n_images": n, "titles_pos": titles, "index_pos": index}
+
+
 class Range(InputPartition):
     def __init__(self, begin: int, end: int):
         self.begin, self.end = begin, end
@@ -92,7 +115,7 @@ class ArticleReader(_Reader):
         self.bodies = str(options.get("bodies", "true")).lower() == "true"
 
     def count(self) -> int:
-        return article_meta(self.path)["n_articles"]
+        return max(0, article_meta(self.path)["n_articles"])
 
     def read(self, partition: Range) -> Iterator[tuple]:
         meta = article_meta(self.path)
@@ -129,26 +152,23 @@ class ArticleReader(_Reader):
 
 
 class ImageReader(_Reader):
-    def _header(self):
-        with _open(self.path) as f:
-            lang, n, titles, index, _ = IMAGE_HEADER.unpack(f.read(IMAGE_HEADER.size))
-        return _text(lang), n, titles, index
-
     def count(self) -> int:
-        return self._header()[1]
+        return max(0, image_meta(self.path)["n_images"])
 
     def read(self, partition: Range) -> Iterator[tuple]:
-        lang, _, titles, index = self._header()
+        meta = image_meta(self.path)
         n = partition.end - partition.begin
+        if not n:
+            return
         with _open(self.path) as f:
-            f.seek(index + 4 * partition.begin)
+            f.seek(meta["index_pos"] + 4 * partition.begin)
             offsets = struct.unpack(f"<{n}I", f.read(4 * n))
             for i, offset in enumerate(offsets, partition.begin):
-                f.seek(titles + offset)
+                f.seek(meta["titles_pos"] + offset)
                 pos, length = IMAGE_RECORD.unpack(f.read(IMAGE_RECORD.size))
-                name = _string_at(f, titles + offset + IMAGE_RECORD.size)
+                name = _string_at(f, meta["titles_pos"] + offset + IMAGE_RECORD.size)
                 f.seek(pos)
-                yield lang, i, name, f.read(length)
+                yield meta["lang"], i, name, f.read(length)
 
 
 class ArticleArchive(DataSource):
@@ -192,5 +212,10 @@ def parse_config(lines: DataFrame, line: str = "value", order: str | None = None
 
 
 def read_config(spark: SparkSession, path: str) -> DataFrame:
-    """(key, value) of a configuration file."""
-    return parse_config(spark.read.text(path))
+    """(key, value) of a configuration file, lines in their order; no rows if there is no file."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return spark.createDataFrame([], "key string, value string")
+    text = spark.read.text(path, wholetext=True)  # a configuration is small, and its lines' order counts
+    lines = text.select(F.posexplode(F.split("value", "\n")).alias("at", "value"))
+    return parse_config(lines, order="at")
