@@ -227,3 +227,31 @@ def test_null_ids(spark):
     docs = documents(spark, [(None, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f")])
     assert sorted((r[0] is None, r[2]) for r in jaccard_components(docs).collect() if r[0]) == [(False, 1), (False, 1)]
     assert dedup_substrings(docs).count() == 3 and count_tokens(docs, VOCABULARY).count() == 3
+
+
+def test_jaccard_of_split_tiles(spark, monkeypatch):
+    """Chains of copies in groups larger than a part, so that many members visit the other parts."""
+    from codexlake.llm import jaccard
+
+    monkeypatch.setattr(jaccard, "MAPS", 4)
+    monkeypatch.setattr(jaccard, "TEXTS", 3)
+    rng = random.Random(21)
+    words = [f"v{i}" for i in range(3000)]
+    texts = []
+    for _ in range(6):
+        own = rng.choices(words, k=60)
+        for _ in range(12):
+            texts.append(" ".join(own))
+            own = own[:]
+            at = rng.randrange(len(own))
+            own[at] = rng.choice(words)
+    rng.shuffle(texts)
+    texts = list(enumerate(texts, 1))
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in texts}
+
+    def linked(a, b):
+        both = len(sets[a] & sets[b])
+        return 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both)
+
+    got = {r[0]: r[2] for r in jaccard_components(documents(spark, texts)).collect()}
+    assert got == components(sets, linked)
