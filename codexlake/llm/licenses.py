@@ -1,7 +1,7 @@
 """License scans by conditional compression.
 
-Candidates are the words around each use of a license notice's vocabulary, over
-line breaks. Every template whose words could be there is aligned with them word
+Of each template a few words are taken of which no notice of it can lack all; candidates
+are the words around each of those, over line breaks. Every template whose words could be there is aligned with them word
 by word, and each place where enough of its words stand in order is a notice.
 Where notices of several templates overlap, the closest wording counts, then
 the size that is saved by compressing the notice with the template as a raw
@@ -12,8 +12,8 @@ from __future__ import annotations
 
 import math
 import re
-from bisect import bisect_left, bisect_right
-from collections import Counter
+from bisect import bisect_left
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -22,50 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import tidy
+from .license_texts import TEMPLATES
 
-#: Short notices and opening paragraphs of common licenses.
-TEMPLATES = {
-    "Apache-2.0": (
-        "Licensed under the Apache License, Version 2.0.",
-        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in "
-        "compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
-        "SPDX-License-Identifier: Apache-2.0",
-    ),
-    "MIT": (
-        "Released under the MIT License.",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
-        "documentation files (the \"Software\"), to deal in the Software without restriction, including without "
-        "limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of "
-        "the Software, and to permit persons to whom the Software is furnished to do so",
-        "SPDX-License-Identifier: MIT",
-    ),
-    "GPL-3.0": (
-        "This work is licensed under the GNU General Public License, version 3.",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General "
-        "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your "
-        "option) any later version.",
-        "SPDX-License-Identifier: GPL-3.0-only",
-    ),
-    "CC-BY-NC-4.0": (
-        "Licensed under CC BY-NC 4.0.",
-        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
-    ),
-    "CC-BY-4.0": (
-        "Licensed under CC BY 4.0.",
-        "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    ),
-    "BSD-3-Clause": (
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that "
-        "the following conditions are met",
-        "SPDX-License-Identifier: BSD-3-Clause",
-    ),
-}
-#: Words of which a notice has one near; they may be parted by line breaks and comment signs.
-VOCABULARY = r"(?i)licen[cs]|spdx|permission[^a-z0-9]+is[^a-z0-9]+hereby|redistribut|creative[^a-z0-9]+commons|free[^a-z0-9]+software"
 #: A notice has at most as many inserted words as its template has words, or this many if that is more.
 INSERTED = 40
 
-_CANDIDATE = re.compile(VOCABULARY)
 _WORD = re.compile(r"\w+(?:[.'-]\w+)*")
 SCHEMA = (
     "line int, license string, reduction double, similarity double, exact boolean, "
@@ -73,6 +34,31 @@ SCHEMA = (
 )
 
 
+def marks(words: list[str], least: float) -> list[str]:
+    """Words of a template of which every notice of it has one: it may lack one less than there are.
+
+    The longest are taken, as they are the rarest in other texts.
+    """
+    lost = len(words) - max(1, math.ceil(least * len(words) - 1e-9))
+    return sorted(dict.fromkeys(words), key=lambda w: (-len(w), w))[: lost + 1]
+
+
+def pattern(words: Iterable[str]) -> str:
+    """An expression that finds any of the words, their common beginnings put together; for Java and Python alike."""
+
+    def branch(words: list[str]) -> str:
+        if len(words) == 1:
+            return re.escape(words[0])
+        parts = []
+        for first in sorted({w[:1] for w in words}):
+            rest = sorted(w[1:] for w in words if w[:1] == first)
+            parts.append(re.escape(first) + branch(rest) if first else "")
+        return "(?:" + "|".join(sorted(parts, key=len, reverse=True)) + ")"  # an empty end last
+
+    words = sorted(set(words))
+    return r"(?i)(?<!\w)" + branch(words) + r"(?!\w)" if words else "(?!)"
+
+
 class Scanner:
     def __init__(self, templates: dict[str, tuple[str, ...]], least: float):
         self.items = [(name, t, self.words(t)) for name, group in templates.items() for t in group]
@@ -80,6 +66,7 @@ class Scanner:
         self.need = [max(1, math.ceil(least * len(words) - 1e-9)) for _, _, words in self.items]
         self.most = [max(INSERTED, len(words)) for _, _, words in self.items]
         self.reach = max((len(x[2]) + most for x, most in zip(self.items, self.most)), default=0)
+        self.marks = {m for _, _, words in self.items for m in marks(words, least)}
         self.number = {w: i for i, w in enumerate(dict.fromkeys(w for _, _, words in self.items for w in words))}
         self.coded = [np.array([self.number[w] for w in words]) for _, _, words in self.items]
         self.uses = np.array([np.bincount(c, minlength=len(self.number)) for c in self.coded]).reshape(-1, len(self.number))
@@ -130,16 +117,14 @@ class Scanner:
 
     def scan(self, text: str):
         """(line, license, reduction, similarity, exact, inserted, deleted, block) of each notice, in the text's order."""
-        hits = [m.start() for m in _CANDIDATE.finditer(text)]
-        if not hits or not self.items:
-            return []
         spans = [m.span() for m in _WORD.finditer(text)]
-        starts = [a for a, _ in spans]
         lowered = [text[a:b].lower() for a, b in spans]
+        hits = [i for i, w in enumerate(lowered) if w in self.marks]
+        if not hits:
+            return []
         codes = np.array([self.number.get(w, -1) for w in lowered], np.int64)
         todo: list[tuple[int, int]] = []
-        for h in hits:
-            i = bisect_right(starts, h) - 1
+        for i in hits:
             a, b = max(0, i - self.reach), min(len(spans), i + self.reach + 1)
             if todo and a <= todo[-1][1]:
                 todo[-1] = (todo[-1][0], max(b, todo[-1][1]))
@@ -222,7 +207,8 @@ def scan_licenses(documents: DataFrame, templates: dict[str, tuple[str, ...]] =
     texts give no rows; repeated rows give theirs each; other columns are ignored.
     """
     rows = documents.select(documents[id_column].cast("long").alias("doc_id"), documents[text_column].cast("string").alias("text"))
-    rows = rows.where(F.col("text").rlike(VOCABULARY))
+    wanted = Scanner(templates, least).marks
+    rows = rows.where(F.col("text").rlike(pattern(wanted)))
     names = ["doc_id", *(x.split()[0] for x in SCHEMA.split(", "))]
     kinds = [pa.int64(), pa.int32(), pa.string(), pa.float64(), pa.float64(), pa.bool_(), pa.list_(pa.string()), pa.list_(pa.string()), pa.string()]
 
