@@ -1,4 +1,4 @@
-"""The pipeline operators as queries over the driver tables, with SQL where SQL can express them."""
+"""The pipeline operators as queries over the driver tables; ``sql`` has the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import crc_mod, table
+from .sql import ORACLE_SQL
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -24,24 +25,6 @@ def op2_mtree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"))
 
 
-OP2_SQL = """
-WITH v AS (
-    SELECT vec_id, CAST(list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS DOUBLE[]) AS q
-    FROM embeddings
-    WHERE embedding IS NOT NULL AND len(embedding) > 0
-      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
-), s AS (
-    SELECT a.vec_id AS query_id, b.vec_id AS vec_id, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
-    FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id
-), r AS (
-    SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
-           vec_id, score
-    FROM s
-)
-SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
-"""
-
-
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text encoded and decoded again: the number of ids, their crc32, and whether the text came back."""
     from .sentencepieces import encode
@@ -119,5 +102,3 @@ QUERIES = {
     "op9_license_scan": op9_license_scan,
     "op10_pack_nnls": op10_pack_nnls,
 }
-
-ORACLE_SQL: dict[str, str] = {"op2_mtree_topk": OP2_SQL}
