@@ -119,6 +119,9 @@ def expand_pages(pages: DataFrame, templates: DataFrame, titles: DataFrame, cont
     return done
 
 
+#: An installation's own style sheet, whose name the built-in pages link to; replace it in ``HEAD`` and ``RESULTS_HEAD`` by your own.
+STYLE = "own.css"
+
 # The built-in page before and after an article, its redirect note, and the page of several hits.
 HEAD = (
     '<html><head>\r\n'
@@ -127,7 +130,7 @@ HEAD = (
     '<LINK href="/stylesheets/main.css" type="text/css" rel="stylesheet">\r\n'
     '<LINK href="/stylesheets/mediawiki_common.css" type="text/css" rel="stylesheet">\r\n'
     '<LINK href="/stylesheets/mediawiki_monobook.css" type="text/css" rel="stylesheet">\r\n'
-    '<LINK href="/stylesheets/wikisrv.css" type="text/css" rel="stylesheet">\r\n'
+    f'<LINK href="/stylesheets/{STYLE}" type="text/css" rel="stylesheet">\r\n'
     '<title>%ArticleTitle%</title>\r\n'
     '</head>\r\n<body class="wkBody">\r\n'
     '<div class="wkTitle"><a href="/" class="wkTitleLink"><img src="/icon_search.gif"/>&nbsp;%ArticleTitle%</a></div>\r\n'
@@ -138,7 +141,7 @@ REDIRECTED = '<span class="wkRedirected">(Redirected from %Title%)</span>\r\n'
 RESULTS_HEAD = (
     '<html><head><title>Search results</title>\r\n'
     '<meta name="viewport" content="width=device-width; initial-scale=1.0; maximum-scale=1.0; user-scalable=0;"/>\r\n'
-    '<LINK href="/stylesheets/wikisrv.css" type="text/css" rel="stylesheet">\r\n'
+    f'<LINK href="/stylesheets/{STYLE}" type="text/css" rel="stylesheet">\r\n'
     '</head>\r\n<body class="wkSearchBody">\r\n<div class="wkSearchTitle">Search results:</div><p /><div class="wkSearchResult">\r\n'
 )
 RESULT = '<a href="./%Title%" class="wkSearchResultLink">%Title%</a><br />\r\n'

@@ -202,14 +202,14 @@ def redirect_body(location: Column) -> Column:
     return F.concat(F.lit('<Please follow <a href="'), location, F.lit('">'), location, F.lit("</a>\r\n"))
 
 
-def header_lines(status: Column, reason: Column, at: Column, mime: Column, length: Column, location: Column) -> Column:
+def header_lines(status: Column, reason: Column, at: Column, mime: Column, length: Column, location: Column, server: str = "codexlake/1.0") -> Column:
     """The response's head: status line, server, date, location, type and length where there are any, and the end of the connection."""
     from ..functions.dates import http_date
 
     # Names of the fields.
     line = lambda name, value: F.when(value.isNotNull(), F.concat(F.lit(name), value.cast("string"), F.lit("\r\n"))).otherwise("")
     return F.concat(
-        F.lit("HTTP/1.1 "), status.cast("string"), F.lit(" "), reason, F.lit("\r\nServer: wikiserver/1.0\r\nDate: "), http_date(at), F.lit("\r\n"),
+        F.lit("HTTP/1.1 "), status.cast("string"), F.lit(" "), reason, F.lit(f"\r\nServer: {server}\r\nDate: "), http_date(at), F.lit("\r\n"),
         line("Location: ", location), line("Content-Type: ", mime), line("Content-Length: ", length), F.lit("Connection: close\r\n\r\n"),
     )
 

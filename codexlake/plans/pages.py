@@ -247,9 +247,18 @@ def serve_errors(spark, d):
     return got.select("p_partkey", "status", "reason", "location", "body")
 
 
+def response_heads(spark, d):
+    """Heads of responses at the events' times."""
+    found = F.col("user_id") % 3 != 0
+    head = R.header_lines(F.when(found, 200).otherwise(404), F.when(found, "OK").otherwise("Not Found"), F.col("ts"), L("text/html"),
+                          F.when(found, F.col("user_id")), F.when(F.col("event_id") % 5 == 0, L("/wiki/en/x")))
+    return table(spark, d, "events").select("event_id", head.alias("head"))
+
+
 QUERIES = MACROS | SINGLE | RENDERS | {f.__name__: f for f in (
     noinclude_strip, onlyinclude_strip, page_assemble, page_assemble_own, search_result_page, render_documents, route_requests, language_installed,
     argument_positions, template_join, article_pages, serve_images, serve_search, serve_random, serve_files, serve_errors,
+    response_heads,
 )}
 
 _END = "chr(13) || chr(10)"
@@ -425,6 +434,11 @@ t AS (SELECT r.page_id, r.lang, drawn[r.h % len(drawn) + 1] AS title FROM r LEFT
 e AS (SELECT *, {_escape_sql('title')} AS escaped FROM t)
 SELECT page_id, CAST(301 AS INTEGER) AS status, CASE WHEN lang NOT IN ('en', 'de', 'es') THEN '/wiki/xx/Language not installed'
        WHEN title IS NULL THEN '/wiki/xx/Article not found' ELSE '/wiki/' || lang || ':' || escaped END AS location FROM e""",
+    "response_heads": f"""
+SELECT event_id, 'HTTP/1.1 ' || CASE WHEN user_id % 3 <> 0 THEN '200 OK' ELSE '404 Not Found' END || {_END} || 'Server: codexlake/1.0' || {_END} || 'Date: ' ||
+       strftime(ts, '%a, %d %b %Y %H:%M:%S') || ' GMT' || {_END} || CASE WHEN event_id % 5 = 0 THEN 'Location: /wiki/en/x' || {_END} ELSE '' END ||
+       'Content-Type: text/html' || {_END} || CASE WHEN user_id % 3 <> 0 THEN 'Content-Length: ' || user_id || {_END} ELSE '' END ||
+       'Connection: close' || {_END} || {_END} AS head FROM events""",
     "serve_files": f"""
 WITH k AS (SELECT p_partkey, p_size % 8 AS k FROM part)
 SELECT p_partkey, CAST((ARRAY[200, 301, 200, 302, 403, 200, 404, 200])[k + 1] AS INTEGER) AS status, CASE k WHEN 1 THEN '/help/index.html' WHEN 3 THEN '/deep/' END AS location,

@@ -161,7 +161,7 @@ def test_listing_headers_and_trial_page(spark):
         routes.header_lines(F.lit(404), F.lit("Not Found"), F.lit("2024-01-02 03:04:05").cast("timestamp"), F.lit("text/html"), F.lit(None).cast("int"), F.lit(None).cast("string")).alias("h"),
     ).first()
     assert [tuple(x) for x in row.l] == [("de", "de"), ("en", "Eng:lish")] and row.t == "<html><body>\r\n<i>a</i>\r\n</html></body>"
-    assert row.h == "HTTP/1.1 404 Not Found\r\nServer: wikiserver/1.0\r\nDate: Tue, 02 Jan 2024 03:04:05 GMT\r\nContent-Type: text/html\r\nConnection: close\r\n\r\n"
+    assert row.h == "HTTP/1.1 404 Not Found\r\nServer: codexlake/1.0\r\nDate: Tue, 02 Jan 2024 03:04:05 GMT\r\nContent-Type: text/html\r\nConnection: close\r\n\r\n"
 
 
 def test_all_traditional_letters(spark):
