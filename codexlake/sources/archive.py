@@ -95,6 +95,30 @@ def _string_at(f, at: int) -> str:
     return _text(raw)
 
 
+class _Records:
+    """Records of one partition: their span is read in one go where they lie together, else each by itself."""
+
+    SPAN, TAIL = 64 << 20, 4_096
+
+    def __init__(self, f, base: int, offsets: tuple[int, ...], layout: struct.Struct):
+        self.f, self.base, self.layout, self.low = f, base, layout, min(offsets)
+        length = max(offsets) - self.low
+        self.held = b""
+        if length <= self.SPAN:
+            f.seek(base + self.low)
+            self.held = f.read(length + layout.size + self.TAIL)
+
+    def __getitem__(self, offset: int) -> tuple:
+        """The record's numbers and its name."""
+        at = offset - self.low
+        end = self.held.find(b"\0", at + self.layout.size) if at + self.layout.size < len(self.held) else -1
+        if end >= 0:
+            return *self.layout.unpack_from(self.held, at), _text(self.held[at + self.layout.size : end])
+        self.f.seek(self.base + offset)
+        numbers = self.layout.unpack(self.f.read(self.layout.size))
+        return *numbers, _string_at(self.f, self.base + offset + self.layout.size)
+
+
 class _Reader(DataSourceReader):
     def __init__(self, options):
         self.path = options["path"]
@@ -125,12 +149,11 @@ class ArticleReader(_Reader):
         with _open(self.path) as f:
             f.seek(meta["index_pos"][self.index] + 4 * partition.begin)
             offsets = struct.unpack(f"<{n}I", f.read(4 * n))  # unsigned: archives may pass 2 GB
+            records = _Records(f, meta["titles_pos"], offsets, TITLE_RECORD)
             rows = []
             for i, offset in enumerate(offsets, partition.begin):
-                at = meta["titles_pos"] + offset
-                f.seek(at)
-                record = TITLE_RECORD.unpack(f.read(TITLE_RECORD.size))
-                rows.append((i, _string_at(f, at + TITLE_RECORD.size), *record))
+                *numbers, title = records[offset]
+                rows.append((i, title, *numbers))
             rows.sort(key=lambda r: (r[2], r[3]))
             block, text = None, b""
             for i, title, block_pos, pos, length in rows:
@@ -163,10 +186,9 @@ class ImageReader(_Reader):
         with _open(self.path) as f:
             f.seek(meta["index_pos"] + 4 * partition.begin)
             offsets = struct.unpack(f"<{n}I", f.read(4 * n))
+            records = _Records(f, meta["titles_pos"], offsets, IMAGE_RECORD)
             for i, offset in enumerate(offsets, partition.begin):
-                f.seek(meta["titles_pos"] + offset)
-                pos, length = IMAGE_RECORD.unpack(f.read(IMAGE_RECORD.size))
-                name = _string_at(f, meta["titles_pos"] + offset + IMAGE_RECORD.size)
+                pos, length, name = records[offset]
                 f.seek(pos)
                 yield meta["lang"], i, name, f.read(length)
 

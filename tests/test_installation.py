@@ -173,3 +173,13 @@ def test_all_traditional_letters(spark):
     assert all(pairs[a] == b for a, b in zip(X.ZH_FROM, X.ZH_TO))
     row = spark.range(1).select(X.key1(F.lit("ÀB亂國é"), F.lit("zh")).alias("zh"), X.key1(F.lit("ÀB亂é"), F.lit("en")).alias("en")).first()
     assert (row.zh, row.en) == ("àb乱国é", "ab亂e")
+
+
+def test_records_far_apart_or_with_long_names(tmp_path, monkeypatch):
+    rows = [(f"{i}" + "é" * (3_000 if i % 3 == 0 else 2), f"body {i}") for i in range(7)]
+    write_articles(tmp_path / "articles.bin", "en", rows)
+    reader = archive.ArticleReader({"path": str(tmp_path / "articles.bin"), "rowsPerPartition": 4})
+    wanted = sorted((i, t, b) for i, (t, b) in enumerate(rows))
+    for span in (64 << 20, 0):
+        monkeypatch.setattr(archive._Records, "SPAN", span)
+        assert sorted((r[1], r[2], r[6]) for p in reader.partitions() for r in reader.read(p)) == wanted
