@@ -2,65 +2,41 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
-import shutil
-import tempfile
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..checkpoints import checkpointed, shared_folder
+
+__all__ = [
+    "checkpointed", "crc_mod", "fresh", "give_back", "lookup", "shared_folder", "string_buffers", "table", "text_blocks", "tidy", "unit_hash",
+]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table by name, opened by Spark's own reader (any file system)."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only a session in one process (``local[n]``, as in tests) may leave it unset; it
-    gets a temporary folder that is removed when the driver ends.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
-    if "local" not in _own_folder:
-        _own_folder["local"] = tempfile.mkdtemp(prefix="codexlake-")
-        atexit.register(shutil.rmtree, _own_folder["local"], ignore_errors=True)
-    return _own_folder["local"]
-
-
-_own_folder: dict[str, str] = {}
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the cluster's shared checkpoint folder."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
-
-
-#: Rows from which a key counts as common.
-COMMON = 1_000
+#: Rows from which a key counts as common, and most common keys.
+COMMON, MOST_COMMON = 1_000, 100_000
 
 
 def lookup(rows: DataFrame, values: DataFrame, keys: list[str], count: str) -> DataFrame:
     """Inner join of rows with values, which have each key once and the number of its rows in ``count``.
 
-    Common keys are broadcast: there are at most a thousandth as many as rows. All others are dealt out by key,
-    so no task gets more than ``COMMON`` rows of a key.
+    Common keys are broadcast. A key is common if it has ``COMMON`` rows, and more than a share of
+    1 / ``MOST_COMMON`` of all rows, so there are at most ``MOST_COMMON`` of them at any size. All others are dealt out.
     """
-    found = F.lit(True).alias("__common")
-    common = values.where(F.col(count) >= COMMON).select(*keys, found)
-    marked = rows.join(F.broadcast(common), keys, "left")
-    few = marked.where("__common is null").drop("__common").join(values.where(F.col(count) < COMMON), keys)
-    many = marked.where("__common").drop("__common").join(F.broadcast(values.where(F.col(count) >= COMMON)), keys)
+    total = values.agg(F.sum(count)).first()[0] or 0
+    least = max(COMMON, total // MOST_COMMON)
+    common = values.where(F.col(count) >= least)
+    marked = rows.join(F.broadcast(common.select(*keys, F.lit(True).alias("__common"))), keys, "left")
+    few = marked.where("__common is null").drop("__common").join(values.where(F.col(count) < least), keys)
+    many = marked.where("__common").drop("__common").join(F.broadcast(common), keys)
     return few.unionByName(many)
 
 
