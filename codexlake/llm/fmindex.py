@@ -2,8 +2,8 @@
 
 The wavelet tree is kept level by level (a wavelet matrix): bits packed into
 64-bit words with a running count for each word, so a rank is one popcount.
-Suffixes are ordered by their first ``DEPTH`` symbols, which serves patterns
-shorter than that.
+Suffixes are ordered by their first symbols only, more of them than the patterns
+searched for have.
 """
 
 from __future__ import annotations
@@ -11,12 +11,12 @@ from __future__ import annotations
 import numpy as np
 
 U = np.uint64
-#: Symbols by which suffixes are ordered; patterns must be shorter.
-DEPTH = 128
+#: Windows of a text that are searched for one after another; pieces of so many go side by side.
+PIECE = 64
 _MASK = (U(1) << np.arange(64, dtype=U)) - U(1)
 
 
-def suffix_order(text: np.ndarray, depth: int = DEPTH) -> np.ndarray:
+def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
     """Suffix numbers in the order of their first ``depth`` symbols, by doubling."""
     n = len(text)
     _, rank = np.unique(text, return_inverse=True)
@@ -79,37 +79,42 @@ class WaveletTree:
 
 
 class FMIndex:
-    """Index of texts (arrays of symbols from 1), each with an owner's rank.
+    """Index of texts (arrays of symbols from 1), each with an owner's rank, for patterns of up to ``longest`` symbols.
 
-    ``least_owner`` answers range minima over the suffix order, so a search can
+    ``least`` answers range minima over the suffix order, so a search can
     be held to texts of a smaller owner.
     """
 
-    def __init__(self, texts: list[np.ndarray], owners: np.ndarray, alphabet: int):
+    def __init__(self, texts: list[np.ndarray], owners: np.ndarray, alphabet: int, longest: int):
         lengths = np.array([len(t) + 1 for t in texts])
         text = np.zeros(int(lengths.sum()), np.int64)
         ends = np.cumsum(lengths)
         for t, end in zip(texts, ends.tolist()):
             text[end - 1 - len(t) : end - 1] = t
-        order = suffix_order(text)
+        order = suffix_order(text, longest + 1)
+        self.text, self.order = text.astype(np.int32), order.astype(np.int32)
         self.tree = WaveletTree(text[order - 1], alphabet)
         self.total = len(text)
-        owner = np.repeat(owners, lengths).astype(np.int32)[order]
-        self.minima = [owner]
+        self.owner = np.repeat(owners, lengths).astype(np.int32)[order]
+        place = np.empty(self.total, np.int32)  # of each row by owner, then by position
+        place[np.lexsort((self.order, self.owner))] = np.arange(self.total, dtype=np.int32)
+        self.place, self.row = place, np.argsort(place).astype(np.int32)
+        self.minima = [place]
         width = 1
         while 2 * width <= self.total:
             last = self.minima[-1]
             self.minima.append(np.minimum(last[:-width], last[width:]))
             width *= 2
 
-    def least_owner(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    def least(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """The row of the least owner within each range, and of its rows the one that comes first in the text."""
         level = np.frexp((hi - lo).astype(float))[1] - 1
         out = np.empty(len(lo), np.int32)
         for k in np.unique(level).tolist():
             at = np.flatnonzero(level == k)
             row = self.minima[k]
             out[at] = np.minimum(row[lo[at]], row[hi[at] - (1 << k)])
-        return out
+        return self.row[out]
 
     def extend(self, symbol: np.ndarray, lo: np.ndarray, hi: np.ndarray):
         """One step of backward search for many patterns: the ranges after putting a symbol in front."""
@@ -122,47 +127,55 @@ class FMIndex:
 def covered(index: FMIndex, texts: list[np.ndarray], owners: np.ndarray, window: int) -> list[list[tuple[int, int]]]:
     """For each text the stretches covered by ``window`` symbols in a row that a text of a smaller owner holds.
 
-    All texts are searched together, a backward step at a time. An attempt aims
-    at the stretch from the first undecided window to an end beyond it; what
-    fails is halved, what matches is doubled, up to the index's depth.
+    All texts are searched together, in pieces of ``PIECE`` windows, a backward step at a time, from the end of a
+    piece's first undecided window to its begin. A search that fails decides all windows that hold what was not found.
+    One that succeeds is located in the text of the least owner, as early as it can be, and goes on there, symbol by
+    symbol, so a long stretch is searched for once.
     """
-    q = len(texts)
-    found: list[list[tuple[int, int]]] = [[] for _ in range(q)]
-    length = np.array([len(t) for t in texts], np.int64)
-    base = np.r_[0, np.cumsum(length)][:-1]
-    flat = np.concatenate(texts) if q else np.empty(0, np.int64)
-    most = DEPTH - 1 - window
-    start = np.zeros(q, np.int64)
-    extra = np.minimum(length - window, most)
-    live = np.flatnonzero(length >= window)
-    end = start + window + extra
-    at = end.copy()
-    lo, hi = np.zeros(q, np.int64), np.full(q, index.total, np.int64)
+    found: list[list[tuple[int, int]]] = [[] for _ in texts]
+    sizes = np.array([max(0, len(t) - window + 1) for t in texts], np.int64)
+    pieces = -(-sizes // PIECE)
+    text = np.repeat(np.arange(len(texts)), pieces)
+    first = PIECE * (np.arange(len(text)) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+    length = np.minimum(PIECE, sizes[text] - first) + window - 1
+    flat = np.concatenate(texts) if texts else np.empty(0, np.int64)
+    base = np.r_[0, np.cumsum([len(t) for t in texts])][text] + first
+    rank = np.asarray(owners)[text]
+    stretches: list[list[tuple[int, int]]] = [[] for _ in text]
+    start = np.zeros(len(text), np.int64)
+    at = start + window
+    lo, hi = np.zeros(len(text), np.int64), np.full(len(text), index.total, np.int64)
+    live = np.arange(len(text))
     while len(live):
         symbol = flat[base[live] + at[live] - 1]
         new_lo, new_hi = index.extend(symbol, lo[live], hi[live])
         good = new_hi > new_lo
         some = np.flatnonzero(good)
         if len(some):
-            good[some] = index.least_owner(new_lo[some], new_hi[some]) < owners[live[some]]
+            good[some] = index.owner[index.least(new_lo[some], new_hi[some])] < rank[live[some]]
         lo[live], hi[live] = new_lo, new_hi
         at[live[good]] -= 1
         done = live[good & (at[live] == start[live])]
-        for i in done.tolist():
-            if found[i] and found[i][-1][1] >= start[i]:
-                found[i][-1] = (found[i][-1][0], int(end[i]))
-            else:
-                found[i].append((int(start[i]), int(end[i])))
+        if len(done):
+            places = index.order[index.least(lo[done], hi[done])].tolist()
+            for i, place in zip(done.tolist(), places):
+                begin, end = int(start[i]), int(start[i]) + window
+                rest = flat[base[i] + end : base[i] + length[i]]
+                held = index.text[place + window : place + window + len(rest)]
+                differ = np.flatnonzero(rest[: len(held)] != held)
+                end += int(differ[0]) if len(differ) else len(held)
+                stretches[i].append((begin, end))
+                start[i] = end - window + 1
         failed = live[~good]
-        lone = failed[extra[failed] == 0]
-        start[done] = end[done] - window + 1
-        extra[done] = 2 * extra[done] + 1
-        start[lone] = at[lone]
-        extra[failed] //= 2
+        start[failed] = at[failed]
         again = np.concatenate([done, failed])
-        extra[again] = np.minimum(np.minimum(extra[again], most), length[again] - window - start[again])
-        end[again] = start[again] + window + extra[again]
-        at[again] = end[again]
+        at[again] = start[again] + window
         lo[again], hi[again] = 0, index.total
         live = live[start[live] + window <= length[live]]
+    for own, begin, spans in zip(text.tolist(), first.tolist(), stretches):
+        for a, b in spans:
+            if found[own] and found[own][-1][1] >= begin + a:
+                found[own][-1] = (found[own][-1][0], begin + b)
+            else:
+                found[own].append((begin + a, begin + b))
     return found

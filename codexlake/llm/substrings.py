@@ -232,7 +232,7 @@ def _stretches(contents: DataFrame, window: int, shards: int) -> DataFrame:
         block = np.cumsum([len(t) for t in texts]) // INDEX_WORDS
         for number in np.unique(block).tolist():
             some = np.flatnonzero(block == number)
-            index = FMIndex([texts[i] for i in some], owners[some], len(vocabulary) + 1)
+            index = FMIndex([texts[i] for i in some], owners[some], len(vocabulary) + 1, window)
             later = np.flatnonzero(owners > owners[some[0]])
             for i, own in zip(later.tolist(), covered(index, [texts[i] for i in later], owners[later], window)):
                 found[i] += own

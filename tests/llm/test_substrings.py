@@ -42,3 +42,30 @@ def test_many_small_indexes(spark, monkeypatch, size):
     monkeypatch.setattr(substrings, "INDEX_WORDS", size)
     assert removed(spark, rows) == want
     assert sum(n for *_, n in want) > 3_000
+
+
+def test_index_search_against_brute_force():
+    """Random, periodic and equal texts over a small alphabet, several texts of one owner, pieces of a long text."""
+    import numpy as np
+
+    from codexlake.llm.fmindex import FMIndex, covered
+
+    rng = np.random.RandomState(9)
+    for window in (1, 3, 7):
+        texts = [rng.randint(1, 4, rng.randint(1, 60)) for _ in range(30)] + [np.tile([1, 2], 200), np.tile([2, 1], 90), np.ones(150, int), np.ones(80, int)]
+        texts += [np.r_[texts[30][:100], texts[3], texts[30][:70]], texts[5]]
+        owners = rng.randint(0, 12, len(texts))
+        got = covered(FMIndex(texts, owners, 4, window), texts, owners, window)
+        least = {}
+        for t, o in zip(texts, owners.tolist()):
+            for i in range(len(t) - window + 1):
+                key = tuple(t[i : i + window].tolist())
+                least[key] = min(o, least.get(key, o))
+        for t, o, spans in zip(texts, owners.tolist(), got):
+            want, have = set(), set()
+            for i in range(len(t) - window + 1):
+                if least[tuple(t[i : i + window].tolist())] < o:
+                    want.update(range(i, i + window))
+            for a, b in spans:
+                have.update(range(a, b))
+            assert have == want
