@@ -12,6 +12,7 @@ differ) or a special token's spelling.
 from __future__ import annotations
 
 import re
+from array import array
 
 import numpy as np
 
@@ -48,7 +49,7 @@ class Encoder:
 
     def word(self, word: str) -> bytes:
         text = word if word.isascii() else word.encode().decode("latin-1").translate(self.spelled)
-        found = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(text)])
+        found = array("I", [t.id for t in self.model.tokenize(text)]).tobytes()
         if len(self.words) >= MEMO:
             self.words.clear()
         self.words[word] = found
@@ -66,19 +67,23 @@ class Encoder:
             return self.whole(text)
         chunks = text.split()
         memo = self.memo
-        try:
-            return b"".join([memo[c] for c in chunks])
-        except KeyError:
-            pass
+        parts = list(map(memo.get, chunks))
+        if None not in parts:
+            return b"".join(parts)
         old, extra = self.old, {}
-        for c in {c for c in chunks if c not in memo}:
-            got = old.get(c)
-            extra[c] = self.chunk(c) if got is None else got
+        for i, known in enumerate(parts):
+            if known is None:
+                c = chunks[i]
+                got = extra.get(c)
+                if got is None:
+                    got = old.get(c)
+                    extra[c] = got = self.chunk(c) if got is None else got
+                parts[i] = got
         if len(memo) + len(extra) > MEMO:  # the older half goes; what is still used comes back
             self.old, self.memo = memo, extra
-            return b"".join([extra[c] if c in extra else memo[c] for c in chunks])
-        memo.update(extra)
-        return b"".join([memo[c] for c in chunks])
+        else:
+            memo.update(extra)
+        return b"".join(parts)
 
 
 def encoder(path: str) -> Encoder:
