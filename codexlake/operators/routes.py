@@ -19,6 +19,7 @@ COMMONS, HELP = "xc", "xx"
 HTML = "text/html; charset=utf-8"
 #: Titles among which a language's random ones are drawn.
 DRAWN = 1_024
+_DRAWN = "\0"
 
 # The reason and the text of each kind of error.
 ERRORS = {
@@ -122,20 +123,20 @@ def respond(requests: DataFrame, titles: DataFrame, languages: list[str], defaul
     the request. With ``compat`` a language counts as installed if its code occurs in the list joined by commas.
     """
     rows = parse(requests, default=default)
-    known = spellings(titles).select(F.col("lang").alias("__lang"), F.col("key0").alias("__key"), "spellings")
-    article_lang = F.when(F.col("route") == "article", F.col("lang"))
-    rows = rows.join(known, (article_lang == F.col("__lang")) & (X.key0(rows.argument) == F.col("__key")), "left")
+    # One join serves articles and random titles; no title's key is the sign under which those drawn are kept.
+    known = spellings(titles).unionByName(draws(titles, seed).select("lang", F.lit(_DRAWN).alias("key0"), F.col("drawn").alias("spellings")))
+    known = known.select(F.col("lang").alias("__lang"), F.col("key0").alias("__key"), "spellings")
+    key = F.when(F.col("route") == "article", X.key0(rows.argument)).when(F.col("route") == "random", F.lit(_DRAWN))
+    rows = rows.join(known, (F.col("lang") == F.col("__lang")) & (key == F.col("__key")), "left")
     image = F.when(F.col("route") == "image", X.svg_key("argument"))
     rows = _optional(rows, images, [("lang", F.col("lang")), ("file_key", image)], "own_image")
     rows = _optional(rows, images, [("lang", F.lit(COMMONS)), ("file_key", image)], "shared_image")
     where = F.when(F.col("argument") == "testpage.txt", F.lit("/testpage.txt")).otherwise(F.regexp_replace("file", "/+$", ""))
     rows = _optional(rows, files, [("path", where)], "exists", ("is_dir",))
     rows = _optional(rows, files, [("path", F.concat(F.regexp_replace("file", "/+$", ""), F.lit("/index.html")))], "has_index")
-    wanted = F.when(F.col("route") == "random", F.col("lang"))
-    pool = draws(titles, seed).withColumnRenamed("lang", "__drawn_lang")
-    rows = rows.join(pool, wanted == F.col("__drawn_lang"), "left")
-    at = drawing(seed, *(F.col(c).cast("string") for c in requests.columns)) % F.size("drawn") + 1
-    rows = rows.withColumn("drawn", F.when(F.size("drawn") > 0, F.element_at("drawn", at.cast("int"))))
+    at = drawing(seed, *(F.col(c).cast("string") for c in requests.columns)) % F.size("spellings") + 1
+    drawn = (F.col("route") == "random") & (F.size("spellings") > 0)
+    rows = rows.withColumn("drawn", F.when(drawn, F.element_at("spellings", at.cast("int"))))
 
     hits = F.coalesce("spellings", F.array().cast("array<string>"))
     exact, n = F.array_contains(hits, F.col("argument")), F.size(hits)
