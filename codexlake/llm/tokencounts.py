@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import tidy
-from .tokens import MEMO, PLAIN, WORD, byte_alphabet, encoder
+from .tokens import MEMO, byte_alphabet, encoder, words_of
 
 #: Characters of a chunk; states after which the tables are begun anew.
 CHUNK, MOST_STATES = 1 << 16, 200_000
@@ -196,14 +196,16 @@ class TokenCounter:
             got = self.old.get(c)
             if got is not None:
                 found[c] = got
-            elif PLAIN.fullmatch(c):
-                parts[c] = [words.setdefault(w, len(words)) for w in WORD.findall(c.lower())]
-            else:
+                continue
+            own = words_of(c)
+            if own is None:
                 odd.append(c)
+            else:
+                parts[c] = [words.setdefault(w, len(words)) for w in own]
         if words:
             counts = self.machine.count([w.encode() for w in words]).tolist()
             for c, at in parts.items():
-                found[c] = counts[at[0]] if len(at) == 1 else sum(counts[i] for i in at)
+                found[c] = sum([counts[i] for i in at])
         for c in odd:
             found[c] = len(self.library.whole(c)) // 4
         return found

@@ -2,9 +2,9 @@
 
 The vocabulary this serves (lower case, a pattern that leaves white space out,
 BPE with word ends) never joins characters across white space, so a text's ids
-are the ids of its space-separated chunks in order. A chunk of ASCII and
-Latin-1 letters is cut into words by the file's own pattern and each word goes
-to the library's BPE model; any other chunk goes through the whole library, as
+are the ids of its space-separated chunks in order. A chunk of letters, digits and
+signs of the alphabets in ``WIDE`` is cut into words by the file's own pattern and
+each word goes to the BPE model; any other chunk goes through the whole library, as
 do texts with the separators U+001C-U+001F (on which Python and the library
 differ) or a special token's spelling.
 """
@@ -12,14 +12,20 @@ differ) or a special token's spelling.
 from __future__ import annotations
 
 import re
+import unicodedata
 from array import array
 
 import numpy as np
+import regex
 
 MEMO = 250_000
-#: The file's word pattern, for lower-case ASCII and Latin-1 letters.
+#: The file's word pattern, for lower-case ASCII and Latin-1 letters, and for all.
 WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
+ANY_WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 PLAIN = re.compile(r"[!-~À-ÿ]+")
+#: Latin, Greek, Cyrillic, marks, punctuation, currencies, symbols, arrows, kana, ideographs, Hangul, emoji: characters that
+#: have long been assigned, so that all tables of letters agree on them.
+WIDE = re.compile("[!-~¡-ɏ\u0300-\u0377Ͱ-ԯḀ-ỿ‐-‧‰-⁞⁰-\u208eₐ-ₜ₠-₿℀-⯿、-ヿ一-鿿가-힣\U0001f300-\U0001f64f\U0001f680-\U0001f6ff]+")
 _loaded: dict[str, "Encoder"] = {}
 
 
@@ -30,6 +36,17 @@ def byte_alphabet() -> str:
     return "".join(chr(b) if b in keep else chr(next(spare)) for b in range(256))
 
 
+def words_of(chunk: str) -> list[str] | None:
+    """The lower-case words of a chunk without white space; None if only the library can tell."""
+    if PLAIN.fullmatch(chunk):
+        return WORD.findall(chunk.lower())
+    if not WIDE.fullmatch(chunk):
+        return None
+    chunk = unicodedata.normalize("NFC", chunk)
+    # A sigma at a word's end is no other letter here, as each character is lowered by itself.
+    return ANY_WORD.findall("".join(map(str.lower, chunk)) if "Σ" in chunk else chunk.lower())
+
+
 class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -56,10 +73,11 @@ class Encoder:
         return found
 
     def chunk(self, chunk: str) -> bytes:
-        if not PLAIN.fullmatch(chunk):
+        found = words_of(chunk)
+        if found is None:
             return self.whole(chunk)
         words = self.words
-        return b"".join([words.get(w) or self.word(w) for w in WORD.findall(chunk.lower())])
+        return b"".join([words.get(w) or self.word(w) for w in found])
 
     def ids(self, text: str) -> bytes:
         """The text's ids as little-endian unsigned 32-bit numbers."""
