@@ -3,6 +3,8 @@
 A page is a stream of lines. What a line begins with decides on blocks (lists,
 tables, headings, paragraphs); within a line a dispatch on single characters
 handles inline markup. Output is a list of pieces.
+
+Fixed values: the tags and class names in the strings of this module, misspelt ones too, are those that pages must have.
 """
 
 from __future__ import annotations

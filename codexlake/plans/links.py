@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import extract as E, joins as J
+from ..operators import extract as E, history as H, joins as J
 from ..sources.archive import parse_config
 from .base import LK, PG, lower_sql, pg, table
 
@@ -149,10 +150,19 @@ def template_closure(spark, d):
     return J.closure(edges, rows.where("n_name = 'CHINA' or n_nationkey = 3").select(F.col("n_name").alias("name")))
 
 
+def history_log(spark, d):
+    """Conversations as sessions: the later half of the turns is appended to the log of the others, and the last three are shown."""
+    rows = table(spark, d, "conversations").select("conv_id", "turn", F.col("role").alias("title"), F.col("text").alias("url"))
+    half = F.avg("turn").over(Window.partitionBy("conv_id"))
+    rows = rows.withColumn("late", F.col("turn") > half)
+    log = H.numbered(rows.where("not late"), "conv_id", ["turn", "title", "url"])
+    return H.latest(H.append(log, rows.where("late"), "conv_id", ["turn", "title", "url"]), "conv_id", 3).select("conv_id", "seq", "back", "title", "url")
+
+
 QUERIES = {f.__name__: f for f in (
     link_extract, link_numbered, link_validity, link_existing, ifexist_semi, ifexist_compat, heading_extract, toc_gate, toc_level_changes,
     wikitext_headings, wikitext_links, reference_extract, category_concat, redirect_resolve, redirect_missing, image_fallback, config_parse,
-    config_default, ref_numbering, template_closure,
+    config_default, ref_numbering, template_closure, history_log,
 )}
 
 _TARGETS = f"""{LK}, tg AS (SELECT page_id, pos, regexp_extract(target, '([^/]*?)(?:\\.[a-z]+)?$', 1) AS target FROM lk),
@@ -204,6 +214,9 @@ UNION ALL SELECT n_nationkey, 'region' || n_regionkey, 'yes' FROM nation""",
     "config_default": "SELECT n_nationkey AS lang, CASE WHEN n_regionkey = 1 THEN 'yes' ELSE 'none' END AS value FROM nation",
     "ref_numbering": """
 SELECT l_orderkey, l_linenumber, l_partkey, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC, l_partkey) AS INTEGER) AS n FROM lineitem""",
+    "history_log": """
+WITH n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS seq, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations)
+SELECT conv_id, CAST(seq AS INTEGER) AS seq, CAST(n - seq + 1 AS INTEGER) AS back, role AS title, text AS url FROM n WHERE n - seq < 3""",
     "template_closure": """
 WITH RECURSIVE f AS (SELECT n_regionkey, min(n_name) AS first FROM nation GROUP BY 1),
 e AS (SELECT n_name AS caller, first AS callee FROM nation JOIN f USING (n_regionkey) WHERE n_name <> first

@@ -268,6 +268,7 @@ def _sql(column: str):
     return lambda expression: f"SELECT p_partkey, {expression} AS {column} FROM part"
 
 
+# The HTML and the class names, misspelt ones too, that rendered pages have.
 _E, _T, _H = _sql("expanded"), _sql("text"), _sql("html")
 _LINK = "'<a href=\"' || {t} || '\" class=\"wkInternalLink\">' || {l} || '</a>'"
 
