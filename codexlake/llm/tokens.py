@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from array import array
 
 import numpy as np
 import regex
@@ -38,6 +37,9 @@ def byte_alphabet() -> str:
 
 def words_of(chunk: str) -> list[str] | None:
     """The lower-case words of a chunk without white space; None if only the library can tell."""
+    if chunk.isascii():
+        low = chunk.lower()
+        return [low] if low.isalpha() else WORD.findall(low)
     if PLAIN.fullmatch(chunk):
         return WORD.findall(chunk.lower())
     if not WIDE.fullmatch(chunk):
@@ -56,6 +58,7 @@ class Encoder:
         self.tok.no_truncation()
         self.model = self.tok.model
         self.spelled = byte_alphabet()
+        self.four = [i.to_bytes(4, "little") for i in range(self.tok.get_vocab_size())]
         self.odd = [*(t.content for t in self.tok.get_added_tokens_decoder().values()), *"\x1c\x1d\x1e\x1f"]
         self.memo: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -66,7 +69,8 @@ class Encoder:
 
     def word(self, word: str) -> bytes:
         text = word if word.isascii() else word.encode().decode("latin-1").translate(self.spelled)
-        found = array("I", [t.id for t in self.model.tokenize(text)]).tobytes()
+        four = self.four
+        found = b"".join([four[t.id] for t in self.model.tokenize(text)])
         if len(self.words) >= MEMO:
             self.words.clear()
         self.words[word] = found
@@ -77,6 +81,8 @@ class Encoder:
         if found is None:
             return self.whole(chunk)
         words = self.words
+        if len(found) == 1:
+            return words.get(found[0]) or self.word(found[0])
         return b"".join([words.get(w) or self.word(w) for w in found])
 
     def ids(self, text: str) -> bytes:
