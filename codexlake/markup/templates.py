@@ -28,6 +28,7 @@ CONSTANTS = {
     "DIRMARK": "", "DIRECTIONMARK": "", "reflist": "<references />",
 }
 IGNORED_TEMPLATES = {"commons"}
+BUILT_IN = {"tl": "{{[[Template:{{{1}}}|{{{1}}}]]}}"}
 RAW_AREAS = {"nowiki", "pre", "source"}
 
 _OPEN = re.compile(r"\{\{|<(/?)([^\s<>/]*)[^>]*>?")
@@ -280,7 +281,7 @@ class Expander:
     def template(self, name: str, arguments: str) -> str | None:
         if S.lower(name) in IGNORED_TEMPLATES:
             return None
-        body = self.c.templates.get(S.lower(self.full_name(name)))
+        body = BUILT_IN.get(name) or self.c.templates.get(S.lower(self.full_name(name)))
         if body is None or body == "-":
             return self.unknown(name)
         if body == "{{" + name + "}}":

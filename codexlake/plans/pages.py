@@ -71,6 +71,7 @@ SINGLE = {
     "statistics": _expand(lambda: C("p_brand", *(L(" {{" + x + "}}") for x in ("NUMBEROFARTICLES", "NUMBEROFEDITS", "NUMBEROFPAGES", "NUMBEROFFILES", "NUMBEROFUSERS", "NUMBEROFADMINS", "PAGESINNAMESPACE", "PAGESINNS:4"))), n_articles=12),
     "empty_variables": _expand(lambda: C(L("{{DISPLAYTITLE:x}}{{DIRMARK}}{{DIRECTIONMARK}}{{DEFAULTSORT:"), "p_name", L("}}{{CONTENTLANGUAGE}}{{reflist}}")), lang="es"),
     "ignored_templates": _expand(lambda: C("p_name", L("{{commons}}{{Commons|"), "p_brand", L("}}")), {"template:commons": "never"}),
+    "template_builtin": _expand(lambda: C(L("{{tl|"), "p_brand", L("}}")), {"template:tl": "never"}),
     "nested_brackets": _expand(lambda: C(L("{{two|[["), "p_brand", L("|x]]|{{two|"), "p_type", L("|[a|b]}}}}")), TEMPLATES),
     "clock_names": _expand(lambda: C(L("{{CURRENTDAYNAME}} {{LOCALMONTHABBREV}} {{CURRENTMONTHNAMEGEN}} {{CURRENTTIMESTAMP}}"), "p_brand"), config={"Monday": "Montag", "January": "Januar"},
                            now=datetime(2024, 1, 1, 2, 3, 4)),
@@ -390,6 +391,7 @@ FROM t GROUP BY lang, key0""",
     "statistics": _E("p_brand || ' 12 1 1 1 1 1 1 1'"),
     "empty_variables": _E("'es<references />'"),
     "ignored_templates": _E("p_name"),
+    "template_builtin": _E("'<span class=\"wkUnknownTemplate\">Template:[[Template:' || p_brand || '|' || p_brand || ']]</span>'"),
     "nested_brackets": _E("'[[' || p_brand || '|x]]+' || p_type || '+[a|b]'"),
     "clock_names": _E("'Montag Jan Januar 20240001020304' || p_brand"),
     "render_glue": _H(f"p_name || p_brand || 'end' || {_END}"),
