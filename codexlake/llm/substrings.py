@@ -209,7 +209,7 @@ def _segments(docs: DataFrame, shared: DataFrame, window: int, heavy) -> DataFra
                         c.append(v)
             cols = [pa.array(c, pa.int64()) for c in out]
             yield pa.RecordBatch.from_arrays([*cols, pa.nulls(len(out[0]), pa.binary())], names)
-            if held > 64 << 20:
+            if held > 24 << 20:
                 yield flush()
                 contents, held = {}, 0
         yield flush()
